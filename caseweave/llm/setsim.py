@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseweave.session import cut
+
 CODE_BITS = 256
 SEED = 20260101
 
@@ -103,8 +105,9 @@ def set_classes(df: DataFrame, id_col: str, set_col: str, min_size: int) -> Data
         .filter(F.size("members") >= max(1, min_size))
         .withColumn("mark", F.md5(F.to_json(F.struct("members"))))
     )
+    one = cut(one)
     keys = one.groupBy("mark").agg(F.min("id").alias("key"))
-    return one.join(keys, "mark").select("id", "key", "members")
+    return cut(one.join(keys, "mark").select("id", "key", "members"))
 
 
 def class_pairs(
@@ -116,10 +119,14 @@ def class_pairs(
     """
     n_segments, radius = calibrate(threshold, seg_bits, recall)
     a_sets, b_sets = left, left if right is None else right
-    sa = sketches(a_sets, n_segments, seg_bits)
-    sb = sa if right is None else sketches(b_sets, n_segments, seg_bits)
-    ea = sa.select(F.explode("segs").alias("seg"), F.col("key").alias("key_a"), F.col("n").alias("na"), *[F.col(f"c{i}").alias(f"a{i}") for i in range(4)])
-    eb = sb.select(F.explode("segs").alias("seg"), F.col("key").alias("key_b"), F.col("n").alias("nb"), *[F.col(f"c{i}").alias(f"b{i}") for i in range(4)])
+    def by_segment(sets: DataFrame) -> DataFrame:
+        rows = sketches(sets, n_segments, seg_bits).select(F.explode("segs").alias("seg"), "key", "n", "c0", "c1", "c2", "c3")
+        return rows.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seg")
+
+    # one exchange serves both sides of a self-join
+    sa = by_segment(a_sets)
+    sb = sa if right is None else by_segment(b_sets)
+    ea, eb = sa.toDF("seg", "key_a", "na", "a0", "a1", "a2", "a3"), sb.toDF("seg", "key_b", "nb", "b0", "b1", "b2", "b3")
     far = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
     near = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (far <= radius)
     if right is None:

@@ -12,11 +12,21 @@ hit the containment of the evaluation set in the training set and the overlap ar
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from caseweave.functions.ids import trimmed
+from caseweave.session import cut
+
+#: A word: a maximal run of letters and digits.
+WORD = re.compile(r"[^\W_]+")
 
 
 def split_name(c: Column) -> Column:
@@ -28,23 +38,45 @@ def registry_number(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(c, r"\D+", ""), "^0+", ""), F.lit(""))
 
 
-def shingle_hashes(text: Column, width: int, min_tokens: int) -> Column:
-    """Sorted distinct hashes of the word runs; null below ``min_tokens`` words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " ")))
-    return F.when(F.size(words) >= max(min_tokens, width), F.array_sort(F.array_distinct(runs)))
+def shingle_sets(rows: DataFrame, width: int, min_tokens: int) -> DataFrame:
+    """(id, side, h): sorted distinct hashes of the runs of ``width`` words of texts of at least ``min_tokens`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, int] = {}
+        odd = np.random.default_rng(width).integers(0, 2**63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for batch in batches:
+            at, flat, ends = [], [], [0]
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                words = WORD.findall(text.lower()) if text else []
+                if len(words) < max(min_tokens, width):
+                    continue
+                if len(kept) > 500_000:
+                    kept.clear()
+                for w in words:
+                    if w not in kept:
+                        kept[w] = xxhash.xxh3_64_intdigest(w)
+                one = np.array([kept[w] for w in words], np.uint64)
+                n = len(one) - width + 1
+                h = np.zeros(n, np.uint64)
+                with np.errstate(over="ignore"):
+                    for k in range(width):
+                        h = (h ^ (one[k : k + n] * odd[k])) * np.uint64(0x9E3779B97F4A7C15)
+                        h ^= h >> np.uint64(29)
+                h = np.unique(h.view(np.int64))
+                at.append(i)
+                flat.append(h)
+                ends.append(ends[-1] + len(h))
+            if at:
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), lists], names=["id", "side", "h"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "side", "text").mapInArrow(run, f"id {kind}, side string, h array<bigint>")
 
 
 def text_overlaps(papers: DataFrame, threshold: float = 0.7, width: int = 3, min_tokens: int = 20) -> DataFrame:
     """(eval_id, train_id, containment, similarity) of (id, side, text); side is 'eval' or 'train'."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    sets = (
-        papers.select("id", "side", words.alias("words"))
-        .filter(F.size("words") >= max(min_tokens, width))
-        .select("id", "side", F.transform(F.sequence(F.lit(1), F.size("words") - width + 1), lambda i: F.xxhash64(F.array_join(F.slice("words", i, width), " "))).alias("h"))
-        .select("id", "side", F.array_sort(F.array_distinct("h")).alias("h"))
-        .withColumn("cls", F.md5(F.to_json(F.struct("h"))))
-    )
+    sets = cut(shingle_sets(papers, width, min_tokens).withColumn("cls", F.md5(F.array_join("h", ","))))
     who = sets.select("id", "side", "cls")
     classes = sets.groupBy("cls").agg(F.first("h").alias("h"), F.max(F.col("side") == "eval").alias("in_eval"), F.max(F.col("side") == "train").alias("in_train"))
     grams = classes.select("cls", "in_eval", "in_train", F.size("h").alias("n"), F.explode("h").alias("gram"))
