@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from caseweave.functions.ids import clean_id, trimmed
 from caseweave.operators.records import current_records
-from caseweave.session import cut
+from caseweave.session import cut, release
 
 
 def key_validity(terms: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -61,11 +61,12 @@ def key_validity(terms: DataFrame, max_rounds: int = 64) -> DataFrame:
             break
         onward = steps.select(F.col("id").alias("at"), F.col("fate").alias("fate2"), F.col("at").alias("at2"))
         moved = moving.join(onward, "at").select("id", F.col("fate2").alias("fate"), F.col("at2").alias("at"))
-        after = cut(steps.filter(F.col("fate").isNotNull()).unionByName(moved))
+        before, after = steps, cut(steps.filter(F.col("fate").isNotNull()).unionByName(moved))
         if after.filter(F.col("fate").isNull() & (F.col("at") == F.col("id"))).limit(1).count() and after.filter(F.col("fate").isNull()).count() == n:
             steps = after  # only circles are left
             break
         steps = after
+        release(before)
     ends = steps.select("id", F.coalesce("fate", F.lit("deleted")).alias("fate"), "at")
     added = t.select(F.col("id").alias("at"), F.col("added_at").alias("valid_from"))
     ends = ends.join(added, "at", "left").select(F.col("id").alias("term"), "fate", F.when(F.col("fate") == "live", F.col("valid_from")).alias("valid_from"))

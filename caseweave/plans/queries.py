@@ -37,15 +37,15 @@ way AS (
 live AS (SELECT k, added_at FROM way WHERE NOT obsolete),
 cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST) rn FROM case_records WHERE id IS NOT NULL) WHERE rn = 1),
 refs AS (
-  SELECT 'case_records' AS ref_table, id AS row_key, p.term.id AS r, ingested_at AS at FROM (SELECT id, ingested_at, unnest(phenotypes) AS p FROM cur)
+  SELECT 'case_records' AS ref_table, id AS row_key, p.term.id AS r, ingested_at AS tm FROM (SELECT id, ingested_at, unnest(phenotypes) AS p FROM cur)
   UNION ALL SELECT 'case_records', id, d.disease.id, ingested_at FROM (SELECT id, ingested_at, unnest(diagnoses) AS d FROM cur)
   UNION ALL SELECT 'disease_annotations', ann_id::VARCHAR, hpo_id, created_at FROM disease_annotations
   UNION ALL SELECT 'terms', trim(term_id, {b}), unnest(parents), modified_at FROM terms
   UNION ALL SELECT 'terms', trim(term_id, {b}), replaced_by, modified_at FROM terms),
-clean AS (SELECT ref_table, row_key, upper(trim(r, {b})) AS ref_id, at FROM refs WHERE trim(coalesce(r, ''), {b}) <> ''),
+clean AS (SELECT ref_table, row_key, upper(trim(r, {b})) AS ref_id, tm FROM refs WHERE trim(coalesce(r, ''), {b}) <> ''),
 found AS (
-  SELECT DISTINCT ref_table, row_key, ref_id, strftime(at, '%Y-%m') AS ref_month FROM clean LEFT JOIN live ON live.k = ref_id
-  WHERE live.k IS NULL OR live.added_at > at)
+  SELECT DISTINCT ref_table, row_key, ref_id, strftime(tm, '%Y-%m') AS ref_month FROM clean LEFT JOIN live ON live.k = ref_id
+  WHERE live.k IS NULL OR live.added_at > tm)
 """.format(b=BLANKS)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +28,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared folder and forget how it was made.
+    """Write ``df`` once as a table in the shared folder and go on from there.
 
-    The rows are written to files that outlive an executor; Spark's cleaner removes them when the frame is gone.
+    The files outlive an executor, the lineage ends, and the plan gets true sizes: a checkpoint would keep the size
+    estimate of the plan it cuts, which in a loop of joins multiplies itself without bound.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._caseweave_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a frame made by ``cut`` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._caseweave_path)  # type: ignore[attr-defined]
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
