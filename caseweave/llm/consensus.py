@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from caseweave.functions.ids import trimmed
-from caseweave.session import cut
+from caseweave.session import cut, release
 
 CLASSES = ("present", "excluded", "not_stated")
 
@@ -93,7 +93,9 @@ def message_passing(
         norm = F.greatest(total([F.col(f"g{c}") for c in range(k)]), F.lit(1e-300))
         beliefs = beliefs.select("item", "who", "y", *[f"b{c}" for c in range(k)], *[(F.col(f"g{c}") / norm).alias(f"a{c}") for c in range(k)])
         change = total([F.abs(F.col(f"a{c}") - F.col(f"b{c}")) for c in range(k)]) / k
-        state = cut(beliefs.select("item", "who", "y", *[F.col(f"a{c}").alias(f"b{c}") for c in range(k)], change.alias("change")))
+        before, state = state, cut(beliefs.select("item", "who", "y", *[F.col(f"a{c}").alias(f"b{c}") for c in range(k)], change.alias("change")))
+        release(before)
+        release(sums)
     empty = state.filter("false").select("item", "who", "y", *[f"b{c}" for c in range(k)], *[F.lit(0.0).alias(f"{x}{c}") for x in "mt" for c in range(k)])
     return empty, passed(state, k, smooth)
 

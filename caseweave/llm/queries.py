@@ -126,10 +126,10 @@ words AS (SELECT paper_id, side, regexp_extract_all(lower(abstract), '[\p{{L}}\p
 grams AS (SELECT DISTINCT paper_id, side, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
   FROM (SELECT paper_id, side, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 20)),
 size AS (SELECT paper_id, count(*) AS n FROM grams GROUP BY 1),
-both AS (SELECT e.paper_id AS e, t.paper_id AS t, count(*) AS k FROM grams e JOIN grams t USING (g)
+pair AS (SELECT e.paper_id AS e, t.paper_id AS t, count(*) AS k FROM grams e JOIN grams t USING (g)
   WHERE e.side = 'e' AND t.side = 't' GROUP BY 1, 2),
 found AS (
-  SELECT e, t FROM both JOIN size a ON a.paper_id = e JOIN size b ON b.paper_id = t WHERE k >= 0.7 * (a.n + b.n - k) - 1e-9
+  SELECT e, t FROM pair JOIN size a ON a.paper_id = e JOIN size b ON b.paper_id = t WHERE k >= 0.7 * (a.n + b.n - k) - 1e-9
   UNION SELECT a.paper_id, b.paper_id FROM side a JOIN side b ON a.num = b.num WHERE a.side = 'e' AND b.side = 't')
 """.format(b=_BLANKS)
 
@@ -137,8 +137,8 @@ ORACLE: dict[str, str] = {
     "p1_found": f"""WITH {_CURRENT},
 size AS (SELECT id, count(*) AS n FROM seen GROUP BY id HAVING count(*) >= 4),
 s AS (SELECT seen.id, term, n FROM seen JOIN size USING (id)),
-both AS (SELECT a.id AS x, b.id AS y, a.n AS na, b.n AS nb, count(*) AS k FROM s a JOIN s b USING (term) WHERE a.id < b.id GROUP BY 1, 2, 3, 4)
-SELECT x AS case_id_a, y AS case_id_b FROM both WHERE k >= 0.75 * (na + nb - k) - 1e-9""",
+pair AS (SELECT a.id AS x, b.id AS y, a.n AS na, b.n AS nb, count(*) AS k FROM s a JOIN s b USING (term) WHERE a.id < b.id GROUP BY 1, 2, 3, 4)
+SELECT x AS case_id_a, y AS case_id_b FROM pair WHERE k >= 0.75 * (na + nb - k) - 1e-9""",
     "p2_found": _P2 + """SELECT record_kind, id AS record_key, term AS term_id FROM (
   SELECT *, min(df) OVER (PARTITION BY record_kind, id) AS least FROM scored) WHERE df = least""",
     "p2_scores": _P2 + """SELECT record_kind, id AS record_key, term AS term_id, df,
