@@ -22,3 +22,131 @@ def observed_terms(records: DataFrame, distinct: bool = True) -> DataFrame:
     ids = F.filter(F.transform(seen, lambda p: clean_id(p["term"]["id"])), lambda t: t.isNotNull())
     ids = F.coalesce(ids, F.array().cast("array<string>"))
     return records.select("id", (F.array_sort(F.array_distinct(ids)) if distinct else ids).alias("terms"))
+
+
+def excluded_terms(records: DataFrame) -> DataFrame:
+    """(id, terms): cleaned distinct ids of the findings marked excluded."""
+    out = F.filter("phenotypes", lambda p: F.coalesce(p["excluded"], F.lit(False)))
+    ids = F.filter(F.transform(out, lambda p: clean_id(p["term"]["id"])), lambda t: t.isNotNull())
+    return records.select("id", F.array_sort(F.array_distinct(F.coalesce(ids, F.array().cast("array<string>")))).alias("terms"))
+
+
+def diagnosis_ids(records: DataFrame) -> DataFrame:
+    ids = F.filter(F.transform("diagnoses", lambda d: clean_id(d["disease"]["id"])), lambda t: t.isNotNull())
+    return records.select("id", F.array_sort(F.array_distinct(F.coalesce(ids, F.array().cast("array<string>")))).alias("diseases"))
+
+
+def gene_ids(records: DataFrame) -> DataFrame:
+    ids = F.filter(F.transform("variants", lambda v: clean_id(v["gene"]["id"])), lambda t: t.isNotNull())
+    return records.select("id", F.array_sort(F.array_distinct(F.coalesce(ids, F.array().cast("array<string>")))).alias("genes"))
+
+
+def exploded_terms(sets: DataFrame, column: str = "terms", name: str = "term") -> DataFrame:
+    return sets.select("id", F.explode(column).alias(name))
+
+
+LISTS = (("phenotypes", "term"), ("diagnoses", "disease"), ("variants", "gene"))
+
+
+def _bare(x):  # noqa: ANN001, ANN202
+    return F.coalesce(F.size(x["evidence"]), F.lit(0)) <= 0
+
+
+def unprovenanced(records: DataFrame) -> DataFrame:
+    """(id, paths): assertions without evidence as list[position]=id."""
+    parts = []
+    for name, about in LISTS:
+        marked = F.transform(name, lambda x, i, n=name, a=about: F.when(_bare(x), F.concat(F.lit(f"{n}["), i.cast("string"), F.lit("]="), F.coalesce(x[a]["id"], F.lit("")))))
+        parts.append(F.coalesce(F.filter(marked, lambda x: x.isNotNull()), F.array().cast("array<string>")))
+    return records.select("id", F.concat(*parts).alias("paths"))
+
+
+def enforce_provenance(records: DataFrame) -> DataFrame:
+    """Records without the assertions that have no evidence; ``n_dropped`` counts those."""
+    n = sum((F.coalesce(F.size(F.filter(name, _bare)), F.lit(0)) for name, _ in LISTS[1:]), F.coalesce(F.size(F.filter(LISTS[0][0], _bare)), F.lit(0)))
+    out = records.withColumn("n_dropped", n)
+    for name, _ in LISTS:
+        out = out.withColumn(name, F.filter(name, lambda x: ~_bare(x)))
+    return out
+
+
+def assertions(records: DataFrame) -> DataFrame:
+    """(id, kind, pos, about, label, excluded, n_evidence): all assertions as rows."""
+    rows = None
+    for name, about in LISTS:
+        e = records.select("id", F.posexplode(name).alias("pos", "x"))
+        one = e.select(
+            "id", F.lit(name[:-1] if name != "diagnoses" else "diagnosis").alias("kind"), "pos", clean_id(F.col(f"x.{about}.id")).alias("about"), F.col(f"x.{about}.label").alias("label"),
+            (F.coalesce(F.col("x.excluded"), F.lit(False)) if name == "phenotypes" else F.lit(False)).alias("excluded"), F.coalesce(F.size("x.evidence"), F.lit(0)).alias("n_evidence"),
+        )
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def union_by_paper(records: DataFrame) -> DataFrame:
+    """(pmid, kind, about, excluded, first_id): findings, diagnoses and genes of all records of a paper, the first record's wins."""
+    rows = assertions(records).join(records.select("id", F.col("source.pmid").alias("pmid")), "id").filter(F.col("pmid").isNotNull() & F.col("about").isNotNull())
+    return rows.groupBy("pmid", "kind", "about", "excluded").agg(F.min("id").alias("first_id"))
+
+
+def track(records: DataFrame) -> DataFrame:
+    """(pmid, n_records, track): single where a paper has exactly one record, else paper."""
+    per = records.select(F.col("source.pmid").alias("pmid"), "id").filter(F.col("pmid").isNotNull()).groupBy("pmid").agg(F.count(F.lit(1)).alias("n_records"))
+    return per.withColumn("track", F.when(F.col("n_records") == 1, "single").otherwise("paper"))
+
+
+def summary(records: DataFrame, first: int = 8) -> DataFrame:
+    """(id, first_terms, n_observed, n_excluded, n_diagnoses, n_variants, source)."""
+    from caseweave.functions.text import curie
+
+    seen = observed_terms(records).select("id", F.slice("terms", 1, first).alias("first_terms"), F.size("terms").alias("n_observed"))
+    out = excluded_terms(records).select("id", F.size("terms").alias("n_excluded"))
+    base = records.select(
+        "id", F.coalesce(F.size("diagnoses"), F.lit(0)).alias("n_diagnoses"), F.coalesce(F.size("variants"), F.lit(0)).alias("n_variants"),
+        curie(F.col("source.pmid"), F.col("source.pmcid"), F.col("source.doi")).alias("source"),
+    )
+    return base.join(seen, "id").join(out, "id")
+
+
+def to_phenopacket(records: DataFrame) -> DataFrame:
+    """(id, packet): records as phenopacket JSON. Variants hang under every diagnosis; without one they stay in a list of their own."""
+    term = lambda t: F.struct(t["id"].alias("id"), t["label"].alias("label"))
+    features = F.transform("phenotypes", lambda p: F.struct(term(p["term"]).alias("type"), F.coalesce(p["excluded"], F.lit(False)).alias("excluded"), F.struct(p["onset"]["iso8601duration"].alias("iso8601duration")).alias("onset")))
+    genomic = F.transform("variants", lambda v: F.struct(F.struct(F.struct(v["gene"]["id"].alias("valueId"), v["gene"]["label"].alias("symbol")).alias("geneContext"), v["hgvs_c"].alias("hgvsC"), v["hgvs_p"].alias("hgvsP")).alias("variantInterpretation")))
+    with_genes = F.col("variants")  # alias for readability in the lambda below
+    interpretations = F.transform("diagnoses", lambda d: F.struct(d["status"].alias("progressStatus"), F.struct(term(d["disease"]).alias("disease"), F.when(with_genes.isNotNull(), genomic).alias("genomicInterpretations")).alias("diagnosis")))
+    loose = F.when(F.coalesce(F.size("diagnoses"), F.lit(0)) <= 0, genomic)
+    subject = F.struct(F.col("subject.id").alias("id"), F.col("subject.sex").alias("sex"), F.struct(F.col("subject.age_at_last_encounter").alias("age")).alias("timeAtLastEncounter"), F.struct(F.col("subject.vital_status").alias("status")).alias("vitalStatus"))
+    reference = F.array(F.struct(F.concat(F.lit("PMID:"), F.col("source.pmid")).alias("id"), F.col("source.title").alias("description")))
+    packet = F.struct(F.col("id"), subject.alias("subject"), features.alias("phenotypicFeatures"), interpretations.alias("interpretations"), loose.alias("unassignedVariants"), F.struct(F.col("schema_version").alias("schemaVersion"), reference.alias("externalReferences")).alias("metaData"))
+    return records.select("id", F.to_json(packet).alias("packet"))
+
+
+TERM = "struct<id:string,label:string>"
+PACKET = (
+    "id string, subject struct<id:string,sex:string,timeAtLastEncounter:struct<age:struct<iso8601duration:string>>,vitalStatus:struct<status:string>>, "
+    f"phenotypicFeatures array<struct<type:{TERM},excluded:boolean,onset:struct<iso8601duration:string>>>, "
+    f"interpretations array<struct<progressStatus:string,diagnosis:struct<disease:{TERM},genomicInterpretations:array<struct<variantInterpretation:struct<geneContext:struct<valueId:string,symbol:string>,hgvsC:string,hgvsP:string>>>>>>, "
+    "unassignedVariants array<struct<variantInterpretation:struct<geneContext:struct<valueId:string,symbol:string>,hgvsC:string,hgvsP:string>>>, "
+    f"diseases array<struct<term:{TERM}>>, metaData struct<schemaVersion:string,externalReferences:array<struct<id:string,description:string>>>"
+)
+
+
+def from_phenopacket(packets: DataFrame, column: str = "packet") -> DataFrame:
+    """Flat views of phenopacket JSON: (id, pmid, sex, observed, excluded, diseases, genes).
+
+    The paper is the first external reference that starts with PMID:, in any case; ``diseases`` count only where no
+    interpretation names one; a packet without an id gets the first 12 digits of the SHA-1 of its JSON.
+    """
+    p = packets.select(F.from_json(column, PACKET).alias("p"), F.col(column).alias("_raw")).filter(F.col("p").isNotNull())
+    feats = F.filter("p.phenotypicFeatures", lambda f: f["type"]["id"].isNotNull())
+    pick = lambda flag: F.transform(F.filter(feats, lambda f: F.coalesce(f["excluded"], F.lit(False)) == flag), lambda f: clean_id(f["type"]["id"]))
+    named = F.filter(F.transform("p.interpretations", lambda i: i["diagnosis"]["disease"]["id"]), lambda d: d.isNotNull())
+    plain = F.filter(F.transform("p.diseases", lambda d: d["term"]["id"]), lambda d: d.isNotNull())
+    genes = F.flatten(F.transform("p.interpretations", lambda i: F.transform(F.coalesce(i["diagnosis"]["genomicInterpretations"], F.array()), lambda g: g["variantInterpretation"]["geneContext"]["valueId"])))
+    refs = F.filter("p.metaData.externalReferences", lambda r: F.upper(r["id"]).startswith("PMID:"))
+    return p.select(
+        F.coalesce("p.id", F.substring(F.sha1(F.col("_raw")), 1, 12)).alias("id"), F.substring(F.get(refs, F.lit(0))["id"], 6, 20).alias("pmid"), F.col("p.subject.sex").alias("sex"),
+        F.array_distinct(pick(False)).alias("observed"), F.array_distinct(pick(True)).alias("excluded"),
+        F.when(F.size(named) > 0, F.array_distinct(named)).otherwise(F.array_distinct(plain)).alias("diseases"), F.array_distinct(F.filter(genes, lambda g: g.isNotNull())).alias("genes"),
+    )
