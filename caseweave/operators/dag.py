@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from caseweave.functions.ids import clean_id
 from caseweave.session import cut, release
 
-NONE = F.array
-
 
 def term_rows(terms: DataFrame) -> DataFrame:
     """(id, name, obsolete, next, parents, alts), one row per term id."""
@@ -33,26 +31,31 @@ def term_rows(terms: DataFrame) -> DataFrame:
     return rows.filter(F.col("id").isNotNull()).groupBy("id").agg(*[F.max(c).alias(c) for c in ("name", "obsolete", "next", "parents", "alts")])
 
 
-def alias_closure(rows: DataFrame, max_rounds: int = 32) -> DataFrame:
+def alias_closure(rows: DataFrame) -> DataFrame:
     """(src, dst): every id a term can be called by, resolved to the end.
 
     An alternative id leads to its term, a withdrawn term with a successor to that; one without stays itself. Chains
-    are followed by doubling; ids whose chain leaves the ontology or runs in a circle without end get no row.
+    are followed by doubling: each round joins the pointers with themselves, so a chain of n steps takes log2(n)
+    rounds. While a chain with an end is unresolved each round resolves some id, so a round that resolves none has
+    only circles left; an id whose chain runs into a circle keeps its own term. Chains that leave the ontology give no row.
     """
-    forward = rows.filter(F.col("obsolete") & F.col("next").isNotNull()).select(F.col("id").alias("src"), F.col("next").alias("dst"))
-    alts = rows.select(F.explode("alts").alias("src"), F.col("id").alias("dst")).groupBy("src").agg(F.min("dst").alias("dst"))
-    hops = cut(forward.unionByName(alts.join(forward.select("src"), "src", "left_anti")))
-    for _ in range(max_rounds):
+    forward = rows.filter(F.col("obsolete") & F.col("next").isNotNull()).select(F.col("id").alias("src"), F.col("next").alias("dst"), F.col("id").alias("own"))
+    alts = rows.select(F.explode("alts").alias("src"), F.col("id").alias("dst")).groupBy("src").agg(F.min("dst").alias("dst")).withColumn("own", F.col("dst"))
+    hops = cut(forward.unionByName(alts.join(forward.select("src"), "src", "left_anti")).withColumn("open", F.lit(True)))
+    left = -1
+    while True:
         step = hops.select(F.col("src").alias("dst"), F.col("dst").alias("further"))
-        joined = cut(hops.join(step, "dst", "left").select("src", F.coalesce("further", "dst").alias("dst"), F.col("further").isNotNull().alias("moved")))
-        moved = joined.filter("moved").limit(1).count()
-        release(hops)
-        hops = joined.select("src", "dst")
-        hops._caseweave_path = joined._caseweave_path  # type: ignore[attr-defined]
-        if not moved:
+        before = hops
+        hops = cut(hops.join(step, "dst", "left").select("src", F.coalesce("further", "dst").alias("dst"), "own", F.col("further").isNotNull().alias("open")))
+        release(before)
+        now = hops.filter("open").count()
+        if now in (0, left):
             break
+        left = now
+    known = rows.select(F.col("id").alias("dst"))
     own = rows.select(F.col("id").alias("src"), F.col("id").alias("dst")).join(hops.select("src"), "src", "left_anti")
-    return own.unionByName(hops.join(rows.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
+    ended = hops.select("src", F.when(F.col("open"), F.col("own")).otherwise(F.col("dst")).alias("dst"))
+    return own.unionByName(ended.join(known, "dst", "left_semi").select("src", "dst"))
 
 
 def edges(rows: DataFrame) -> DataFrame:
@@ -61,22 +64,23 @@ def edges(rows: DataFrame) -> DataFrame:
     return pairs.join(rows.select(F.col("id").alias("parent")), "parent", "left_semi").select("child", "parent")
 
 
-def closure(rows: DataFrame, max_depth: int = 100) -> DataFrame:
+def closure(rows: DataFrame) -> DataFrame:
     """(term, ancestor, depth): reflexive closure with shortest depths.
 
-    Frontier by frontier; a pair already found at a smaller depth is dropped, so diamonds are not multiplied and
-    circles end. Every round is written, and the rounds are read together at the end.
+    By squaring: a round joins the pairs found with themselves and keeps the shortest depth of each, so k rounds reach
+    2**k levels; a round that adds no pair ends it. Diamonds are merged in every round and circles end.
     """
-    e = cut(edges(rows))
-    frontier = cut(rows.select(F.col("id").alias("term"), F.col("id").alias("ancestor"), F.lit(0).alias("depth")))
-    found = frontier
-    for depth in range(1, max_depth + 1):
-        up = frontier.join(e.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("term", F.col("parent").alias("ancestor")).distinct()
-        frontier = cut(up.join(found.select("term", "ancestor"), ["term", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
-        if not frontier.limit(1).count():
-            break
-        found = found.unionByName(frontier)
-    return cut(found)
+    own = rows.select(F.col("id").alias("term"), F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
+    found = cut(own.unionByName(edges(rows).filter("child <> parent").select(F.col("child").alias("term"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))))
+    n = found.count()
+    while True:
+        upper = found.select(F.col("term").alias("ancestor"), F.col("ancestor").alias("top"), F.col("depth").alias("more"))
+        longer = found.join(upper, "ancestor").groupBy("term", F.col("top").alias("ancestor")).agg(F.min(F.col("depth") + F.col("more")).alias("depth"))
+        before, found = found, cut(longer)
+        release(before)
+        if found.count() == n:
+            return found
+        n = found.count()
 
 
 def path_distance(pairs: DataFrame, closed: DataFrame, max_hops: int = 6) -> DataFrame:

@@ -25,11 +25,11 @@ from caseweave.operators.records import current_records
 from caseweave.session import cut, release
 
 
-def key_validity(terms: DataFrame, max_rounds: int = 64) -> DataFrame:
+def key_validity(terms: DataFrame) -> DataFrame:
     """(ref_id, fate, valid_from) for every usable key; fate is live, deleted or missing (a broken chain).
 
     Chains of replacements are followed by doubling: each round joins the pointers with themselves, so a chain of
-    length n takes log2(n) rounds, and what is still moving after ``max_rounds`` is a circle.
+    length n takes log2(n) rounds, and what is still open when a round closes nothing is a circle.
     """
     t = (
         terms.select(
@@ -54,18 +54,13 @@ def key_validity(terms: DataFrame, max_rounds: int = 64) -> DataFrame:
         )
     )
     steps = cut(steps)
-    for _ in range(max_rounds):
-        moving = steps.filter(F.col("fate").isNull())
-        n = moving.count()
-        if not n:
-            break
+    left = -1
+    while (now := steps.filter(F.col("fate").isNull()).count()) not in (0, left):
+        # while a chain with an end is open each round closes some; a round that closes none has only circles left
+        left = now
         onward = steps.select(F.col("id").alias("at"), F.col("fate").alias("fate2"), F.col("at").alias("at2"))
-        moved = moving.join(onward, "at").select("id", F.col("fate2").alias("fate"), F.col("at2").alias("at"))
-        before, after = steps, cut(steps.filter(F.col("fate").isNotNull()).unionByName(moved))
-        if after.filter(F.col("fate").isNull() & (F.col("at") == F.col("id"))).limit(1).count() and after.filter(F.col("fate").isNull()).count() == n:
-            steps = after  # only circles are left
-            break
-        steps = after
+        moved = steps.join(onward, "at", "left").select("id", F.coalesce("fate", "fate2").alias("fate"), F.when(F.col("fate").isNull(), F.col("at2")).otherwise(F.col("at")).alias("at"))
+        before, steps = steps, cut(moved)
         release(before)
     ends = steps.select("id", F.coalesce("fate", F.lit("deleted")).alias("fate"), "at")
     added = t.select(F.col("id").alias("at"), F.col("added_at").alias("valid_from"))

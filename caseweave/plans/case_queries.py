@@ -26,7 +26,9 @@ alt AS (SELECT {clean('a')} AS src, min({clean('term_id')}) AS dst FROM (SELECT
 hop AS (SELECT id AS src, nxt AS dst FROM t WHERE obsolete AND nxt IS NOT NULL UNION ALL SELECT src, dst FROM alt WHERE src NOT IN (SELECT id FROM t WHERE obsolete AND nxt IS NOT NULL)),
 chain AS (SELECT src, dst, 1 AS n FROM hop UNION ALL SELECT c.src, h.dst, n + 1 FROM chain c JOIN hop h ON h.src = c.dst WHERE n < 50),
 fin AS (SELECT src, dst FROM chain WHERE dst NOT IN (SELECT src FROM hop)),
-alias AS (SELECT id AS src, id AS dst FROM t WHERE id NOT IN (SELECT src FROM hop) UNION ALL SELECT src, dst FROM fin WHERE dst IN (SELECT id FROM t)),
+circ AS (SELECT src FROM hop WHERE src NOT IN (SELECT src FROM fin)),
+alias AS (SELECT id AS src, id AS dst FROM t WHERE id NOT IN (SELECT src FROM hop) UNION ALL SELECT src, dst FROM fin WHERE dst IN (SELECT id FROM t)
+  UNION ALL SELECT src, CASE WHEN src IN (SELECT id FROM t) THEN src ELSE (SELECT dst FROM alt WHERE alt.src = circ.src) END FROM circ),
 edge AS (SELECT DISTINCT {clean('term_id')} AS child, {clean('p')} AS parent FROM (SELECT term_id, unnest(parents) AS p FROM terms)
   WHERE {clean('p')} IN (SELECT id FROM t) AND {clean('term_id')} IS NOT NULL),
 closed AS (SELECT id AS term, id AS ancestor FROM t UNION SELECT c.term, e.parent FROM closed c JOIN edge e ON e.child = c.ancestor)"""
