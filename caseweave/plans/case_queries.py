@@ -49,16 +49,25 @@ FULL = f"{WITH},\n{ANN_SQL},\n{IC_SQL},\n{CUR_SQL}\n"
 
 
 class Base:
-    """The shared frames of one folder, each written once."""
+    """The shared frames of one folder. What follows from the ontology alone is written once per application."""
+
+    _kept: dict[tuple[str, str], "Base"] = {}
 
     def __init__(self, spark: SparkSession, d: str):
         self.spark, self.d = spark, d
         self.terms = table(spark, d, "terms")
-        self.rows = cut(dag.term_rows(self.terms))
-        self.alias = cut(dag.alias_closure(self.rows))
+        first = self._kept.get(key := (spark.sparkContext.applicationId, d))
+        if first is None:
+            self.rows = cut(dag.term_rows(self.terms))
+            self.alias = cut(dag.alias_closure(self.rows))
+            self._closed: DataFrame | None = None
+            self._kept[key] = first = self
+        self.first, self.rows, self.alias = first, first.rows, first.alias
 
     def closure(self) -> DataFrame:
-        return dag.closure(self.rows)
+        if self.first._closed is None:
+            self.first._closed = dag.closure(self.rows)
+        return self.first._closed
 
     def annotations(self) -> DataFrame:
         return qa.annotations_clean(table(self.spark, self.d, "disease_annotations"))
