@@ -118,9 +118,6 @@ def _begins(text: str, at: int, end: int) -> str:
     return ""
 
 
-_BEGINNINGS = frozenset(("upper", "digit", "open", "mixed", "caseless"))
-
-
 def _outermost(text: str, marks: list[int]) -> list[tuple[int, int]]:
     """The outermost matched pairs of marks, as positions; the stack of the automaton."""
     stack: list[tuple[str, int]] = []
@@ -171,7 +168,7 @@ def _full_stop_ends(text: str, first: int, at: int, nxt: int, end: int) -> bool:
     if not token:
         return gap or text[nxt : nxt + 1].isupper()
     kind = ABBREVIATIONS.get(token)
-    if kind == "inside" or (token in _SECOND and text[max(first, at - 24) : at].split()[-2:-1] == [_SECOND[token]]):
+    if kind == "inside" or token == "a" or (token in _SECOND and text[max(first, at - 24) : at].split()[-2:-1] == [_SECOND[token]]):
         return False
     if not gap:
         begin = text[nxt]
@@ -179,7 +176,7 @@ def _full_stop_ends(text: str, first: int, at: int, nxt: int, end: int) -> bool:
             return False
         return len(token) > 1 and "." not in token
     if kind == "ending":
-        return token != "j" and _begins(text, nxt, end) in _BEGINNINGS
+        return token != "j" and _begins(text, nxt, end) in ("upper", "digit", "open", "mixed")
     if len(token) == 1 and token.isalpha() and token.islower() and word[-1:].isupper():
         return False  # an initial
     if token.isdigit() and len(token) <= 3:
