@@ -27,7 +27,7 @@ def pick(df: DataFrame, *names: str) -> Column:
 
 
 def _listed(name: str) -> Column:
-    parts = F.transform(F.split(F.regexp_replace(F.coalesce(F.col(name), F.lit("")), '"', ""), r"\|"), F.trim)
+    parts = F.transform(F.split(F.regexp_replace(F.coalesce(F.col(name), F.lit("")), '"', ""), r"\|"), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 

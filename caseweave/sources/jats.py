@@ -13,7 +13,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from caseweave.schema import DOCUMENT
@@ -98,16 +98,16 @@ def parse_article(xml: str) -> dict[str, Any]:
 
 def documents(xml: DataFrame, key: str = "doc_id", column: str = "xml") -> DataFrame:
     """Parsed documents of (key, xml) rows."""
-    names = ["doc_id", "pmid", "pmcid", "doi", "journal", "pub_year", "title", "text", "has_body", "spans", "status"]
+    span = pa.struct([("section", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("heading", pa.string())])
+    text = [(n, pa.string()) for n in ("doc_id", "pmid", "pmcid", "doi", "journal")]
+    layout = pa.schema([*text, ("pub_year", pa.int32()), ("title", pa.string()), ("text", pa.string()), ("has_body", pa.bool_()), ("spans", pa.list_(span)), ("status", pa.string())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [{"doc_id": str(k), **parse_article(x or "")} for k, x in zip(pdf[key], pdf[column])]
-            out = pd.DataFrame(rows, columns=names)
-            out["pub_year"] = out["pub_year"].astype("Int32")
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{"doc_id": str(k), **parse_article(x or "")} for k, x in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_pylist(rows, schema=layout)
 
-    return xml.select(key, column).mapInPandas(run, DOCUMENT)
+    return xml.select(key, column).mapInArrow(run, DOCUMENT)
 
 
 def section_of(spans: Any, at: Any) -> Any:
