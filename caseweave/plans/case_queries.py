@@ -474,14 +474,18 @@ def ground_mentions(spark: SparkSession, d: str) -> DataFrame:
     return grounding.ground(table(spark, d, "documents"), phrases)
 
 
-@query("SELECT doc_id, 'hgvs.c' AS kind, v AS variant, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b(?:[NX][MR]_\\d+(?:\\.\\d+)?:)?c\\.[\\d_+\\-*]+(?:[ACGT]+>[ACGT]+|del[ACGT]*|dup[ACGT]*|ins[ACGT]+|delins[ACGT]+)')) AS v FROM documents) GROUP BY 1, 2, 3 UNION ALL SELECT doc_id, 'hgvs.p', v, count(*) FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b(?:[NX]P_\\d+(?:\\.\\d+)?:)?p\\.\\(?[A-Z][a-z]{2}\\d+(?:[A-Z][a-z]{2}|Ter|\\*|fs|del|dup)\\)?')) AS v FROM documents) GROUP BY 1, 2, 3")
+# RE2 sees word ends at letters that are not ASCII; they are made word characters first
+WORDY = "regexp_replace(text, '[\\p{Lo}\\p{Lm}\\p{Mn}\\p{Mc}À-ÖØ-öø-ʯͰ-ϿЀ-ӿ]', '_', 'g')"
+
+
+@query(("SELECT doc_id, 'hgvs.c' AS kind, v AS variant, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(WORDY_, '(?i)\\b(?:[NX][MR]_\\d+(?:\\.\\d+)?:)?c\\.[\\d_+\\-*]+(?:[ACGT]+>[ACGT]+|del[ACGT]*|dup[ACGT]*|ins[ACGT]+|delins[ACGT]+)')) AS v FROM documents) GROUP BY 1, 2, 3 UNION ALL SELECT doc_id, 'hgvs.p', v, count(*) FROM (SELECT doc_id, unnest(regexp_extract_all(WORDY_, '\\b(?:[NX]P_\\d+(?:\\.\\d+)?:)?p\\.\\(?[A-Z][a-z]{2}\\d+(?:[A-Z][a-z]{2}|Ter|\\*|fs|del|dup)\\)?')) AS v FROM documents) GROUP BY 1, 2, 3").replace("WORDY_", WORDY))
 def variant_mentions(spark: SparkSession, d: str) -> DataFrame:
     return grounding.variant_mentions(table(spark, d, "documents"))
 
 
-@query(FULL + """, g AS (SELECT DISTINCT v.gene.label AS symbol, """ + clean("v.gene.id") + """ AS gene FROM (SELECT unnest(variants) AS v FROM cur) WHERE v.gene.label IS NOT NULL),
-m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z][A-Z0-9]{1,9}(?:-[A-Z0-9]{1,4})?\\b')) AS symbol FROM documents)
-SELECT doc_id, symbol, gene, count(*) AS n FROM m JOIN (SELECT symbol, min(gene) AS gene FROM g WHERE gene IS NOT NULL GROUP BY 1) USING (symbol) GROUP BY 1, 2, 3""")
+@query((FULL + """, g AS (SELECT DISTINCT v.gene.label AS symbol, """ + clean("v.gene.id") + """ AS gene FROM (SELECT unnest(variants) AS v FROM cur) WHERE v.gene.label IS NOT NULL),
+m AS (SELECT doc_id, unnest(regexp_extract_all(WORDY_, '\\b[A-Z][A-Z0-9]{1,9}(?:-[A-Z0-9]{1,4})?\\b')) AS symbol FROM documents)
+SELECT doc_id, symbol, gene, count(*) AS n FROM m JOIN (SELECT symbol, min(gene) AS gene FROM g WHERE gene IS NOT NULL GROUP BY 1) USING (symbol) GROUP BY 1, 2, 3""").replace("WORDY_", WORDY))
 def gene_mentions(spark: SparkSession, d: str) -> DataFrame:
     v = Base(spark, d).current().select(F.explode("variants").alias("v")).select(F.col("v.gene.label").alias("symbol"), clean_id(F.col("v.gene.id")).alias("gene"))
     symbols = v.filter("symbol IS NOT NULL AND gene IS NOT NULL").groupBy("symbol").agg(F.min("gene").alias("gene"))
