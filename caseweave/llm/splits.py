@@ -78,13 +78,16 @@ def text_overlaps(papers: DataFrame, threshold: float = 0.7, width: int = 3, min
     """(eval_id, train_id, containment, similarity) of (id, side, text); side is 'eval' or 'train'."""
     sets = cut(shingle_sets(papers, width, min_tokens).withColumn("cls", F.md5(F.array_join("h", ","))))
     who = sets.select("id", "side", "cls")
-    classes = sets.groupBy("cls").agg(F.first("h").alias("h"), F.max(F.col("side") == "eval").alias("in_eval"), F.max(F.col("side") == "train").alias("in_train"))
-    grams = classes.select("cls", "in_eval", "in_train", F.size("h").alias("n"), F.explode("h").alias("gram"))
-    # a gram matters only if both sides have it; how many classes do orders the grams of each set
-    spread = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.max("in_eval").alias("e"), F.max("in_train").alias("t"))
-    ranked = grams.join(spread, "gram").withColumn("rank", F.row_number().over(W.partitionBy("cls").orderBy("df", "gram")))
-    needed = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    keys = ranked.filter((F.col("rank") <= needed) & F.col("e") & F.col("t") & (F.col("df") > 1))
+    classes = who.groupBy("cls").agg(F.min("id").alias("id"), F.max(F.col("side") == "eval").alias("in_eval"), F.max(F.col("side") == "train").alias("in_train"))
+    # one row per class, with the set of its first paper
+    whole = cut(sets.select("id", "cls", "h").join(classes, ["cls", "id"]).select("cls", "in_eval", "in_train", "h"))
+    grams = whole.select("cls", "in_eval", "in_train", F.size("h").alias("n"), F.explode("h").alias("gram"))
+    # Only grams that both sides have can meet. In the order in which the others come first and these follow from the
+    # rarest to the commonest, the prefix of a set reaches into them by as many as its misses leave over.
+    met = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.max("in_eval").alias("e"), F.max("in_train").alias("t")).filter(F.col("e") & F.col("t") & (F.col("df") > 1)).select("gram", "df")
+    of_class = W.partitionBy("cls")
+    ranked = grams.join(met, "gram").withColumn("m", F.count(F.lit(1)).over(of_class)).filter(F.col("m") >= F.ceil(F.col("n") * threshold - 1e-9)).withColumn("rank", F.row_number().over(of_class.orderBy("df", "gram")))
+    keys = cut(ranked.filter(F.col("rank") <= F.col("m") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("cls", "in_eval", "in_train", "n", "gram"))
     ev = keys.filter("in_eval").select("gram", F.col("cls").alias("cls_e"), F.col("n").alias("ne"))
     tr = keys.filter("in_train").select("gram", F.col("cls").alias("cls_t"), F.col("n").alias("nt"))
     hits = (
@@ -92,7 +95,6 @@ def text_overlaps(papers: DataFrame, threshold: float = 0.7, width: int = 3, min
         .filter((F.col("cls_e") != F.col("cls_t")) & (F.least("ne", "nt") >= F.lit(threshold) * F.greatest("ne", "nt") - 1e-9))
         .select("cls_e", "cls_t").distinct()
     )
-    whole = classes.select("cls", "h")
     measured = (
         hits.join(whole.select(F.col("cls").alias("cls_e"), F.col("h").alias("he")), "cls_e")
         .join(whole.select(F.col("cls").alias("cls_t"), F.col("h").alias("ht")), "cls_t")
@@ -119,6 +121,7 @@ def overlaps(papers: DataFrame, threshold: float = 0.7, width: int = 3, min_toke
         .select(F.col("paper_id").alias("id"), side.alias("side"), registry_number(F.col("pmid")).alias("number"), F.col("abstract").alias("text"))
         .filter(F.col("side").isNotNull())
     )
+    rows = cut(rows)
     near = text_overlaps(rows, threshold, width, min_tokens)
     numbered = rows.filter(F.col("number").isNotNull())
     e = numbered.filter("side = 'eval'").select(F.col("id").alias("eval_id"), "number")
