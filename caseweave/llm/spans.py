@@ -176,7 +176,8 @@ class SharedSpans:
         parts = int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         placed = made.repartition(parts, "h")
         one = placed.groupBy("h", "k0", "k1").agg(F.min("id").alias("id"))
-        several = one.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+        # the id is kept here too, so that both uses of the anchors have one exchange
+        several = one.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).filter("n > 1 AND least IS NOT NULL").select("h")
         return one.join(several.hint("shuffle_hash"), "h", "left_semi").select("h", "id")
 
     def _parse(self, pairs: DataFrame) -> DataFrame:
