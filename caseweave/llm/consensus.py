@@ -23,6 +23,7 @@ equal scores go to the class named first in ``classes``.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -51,8 +52,8 @@ def votes(rows: DataFrame, classes: tuple[str, ...] = CLASSES) -> DataFrame:
     )
 
 
-def passed(edges: DataFrame, k: int, smooth: float) -> DataFrame:
-    """(who, y, prior sums): one row per annotator and label with the beliefs that voted it."""
+def passed(edges: DataFrame, k: int) -> DataFrame:
+    """(who, y, n, change, s0..): one row per annotator and label with the sums of the beliefs of the items it was given to."""
     return edges.groupBy("who", "y").agg(
         F.count(F.lit(1)).alias("n"), F.sum("change").alias("change"), *[F.sum(f"b{c}").alias(f"s{c}") for c in range(k)]
     )
@@ -67,7 +68,7 @@ def message_passing(
     start = [((F.sum(F.when(F.col("y") == c, 1.0).otherwise(0.0)).over(item) - F.when(F.col("y") == c, 1.0).otherwise(0.0) + 1.0 / k) / n).alias(f"b{c}") for c in range(k)]
     state = cut(edges.select("item", "who", "y", *start, F.lit(1.0).alias("change")))
     for round_no in range(max_rounds):
-        sums = cut(passed(state, k, smooth))
+        sums = cut(passed(state, k))
         whole = sums.agg(F.sum("n"), F.sum("change"), *[F.sum(f"s{c}") for c in range(k)]).first()
         if not whole[0]:
             break
@@ -76,12 +77,15 @@ def message_passing(
         per = sums.groupBy("who").agg(F.sum("n").alias("all_n"), *[F.sum(f"s{c}").alias(f"all{c}") for c in range(k)])
         table = sums.drop("change").join(per, "who")
         told = state.join(table, ["who", "y"])
-        # without the edge's own belief; the rest is what is not of the class
+        # without the edge's own belief; the rest is what is not of the class. An annotator nobody can judge yet is
+        # taken to be right twice as often as it gives any one wrong label.
+        off = smooth * k / (k + 1)
         messages = []
         for c in range(k):
             b = F.col(f"b{c}")
-            for_c = (F.col(f"s{c}") - b + smooth) / (F.col(f"all{c}") - b + smooth * k)
-            for_rest = ((F.col("n") - F.col(f"s{c}")) - (1 - b) + smooth) / ((F.col("all_n") - F.col(f"all{c}")) - (1 - b) + smooth * k)
+            mine = F.col("y") == c
+            for_c = (F.col(f"s{c}") - b + F.when(mine, 2 * off).otherwise(off)) / (F.col(f"all{c}") - b + smooth * k)
+            for_rest = ((F.col("n") - F.col(f"s{c}")) - (1 - b) + F.when(mine, off).otherwise((smooth * k - off) / (k - 1))) / ((F.col("all_n") - F.col(f"all{c}")) - (1 - b) + smooth * k)
             # sums of floats may fall a little below what they hold
             messages.append(F.log(F.greatest(for_c, F.lit(1e-9)) / F.greatest(for_rest, F.lit(1e-9))).alias(f"m{c}"))
         told = told.select("item", "who", "y", *[f"b{c}" for c in range(k)], *messages)
@@ -97,12 +101,10 @@ def message_passing(
         release(before)
         release(sums)
     empty = state.filter("false").select("item", "who", "y", *[f"b{c}" for c in range(k)], *[F.lit(0.0).alias(f"{x}{c}") for x in "mt" for c in range(k)])
-    return empty, passed(state, k, smooth)
+    return empty, passed(state, k)
 
 
 def _log_odds(p: float) -> float:
-    import math
-
     p = min(max(p, 1e-9), 1 - 1e-9)
     return math.log(p / (1 - p))
 
@@ -118,10 +120,10 @@ class Consensus:
         final = cut(told.select("item", "who", "y", win.alias("win")))
         decided = final.groupBy("item").agg(F.first("win").alias("win"), F.avg((F.col("y") == F.col("win")).cast("double")).alias("agreement"), F.count(F.lit(1)).alias("n_votes"))
         common = decided.groupBy("win").count().orderBy(F.desc("count"), "win").limit(1).collect()
-        names = F.array(*[F.lit(c) for c in classes])
+        name = reduce(lambda acc, i: acc.when(F.col("win") == i, F.lit(classes[i])), range(1, k), F.when(F.col("win") == 0, F.lit(classes[0])))
         fallback = classes[common[0]["win"]] if common else classes[0]
         everything = rows.select(F.col("item_id").alias("item")).filter(F.col("item").isNotNull()).distinct()
         self.items = everything.join(decided, "item", "left").select(
-            F.col("item").alias("item_id"), F.coalesce(F.element_at(names, F.col("win") + 1), F.lit(fallback)).alias("label"), F.round("agreement", 4).alias("agreement"), F.coalesce("n_votes", F.lit(0).cast("long")).alias("n_votes")
+            F.col("item").alias("item_id"), F.coalesce(name, F.lit(fallback)).alias("label"), F.round("agreement", 4).alias("agreement"), F.coalesce("n_votes", F.lit(0).cast("long")).alias("n_votes")
         )
         self.annotators = final.groupBy(F.col("who").alias("extractor")).agg(F.count(F.lit(1)).alias("n_votes"), F.round(F.avg((F.col("y") == F.col("win")).cast("double")), 4).alias("reliability"))
