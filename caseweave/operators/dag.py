@@ -109,8 +109,9 @@ def propagated_counts(annotations: DataFrame, closed: DataFrame) -> DataFrame:
 
 def information_content(rows: DataFrame, counts: DataFrame, total: DataFrame) -> DataFrame:
     """(term, ic) of every term: -ln(n / total), ln(total) where nothing is annotated; ``total`` is one row ``total``."""
-    joined = rows.select(F.col("id").alias("term")).join(counts, "term", "left").crossJoin(F.broadcast(total))  # one row
-    share = F.when(F.col("n").isNull(), F.log(F.col("total"))).otherwise(-F.log(F.col("n") / F.col("total")))
+    n = total.first()[0]  # one number
+    joined = rows.select(F.col("id").alias("term")).join(counts, "term", "left").withColumn("total", F.lit(float(n or 0.0)))
+    share = F.when(F.col("n").isNull(), F.log("total")).otherwise(-F.log(F.col("n") / F.col("total")))
     return joined.select("term", F.when(F.col("total") > 0, share).otherwise(F.lit(0.0)).alias("ic"))
 
 

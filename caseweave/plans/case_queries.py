@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseweave.functions import text as tx
 from caseweave.functions.durations import iso_days
 from caseweave.functions.ids import clean_id, trimmed
-from caseweave.operators import dag, grounding, metrics, qa, rank, records, search
+from caseweave.operators import dag, extract, grounding, metrics, qa, rank, records, search
 from caseweave.plans.queries import BLANKS, query
 from caseweave.session import cut, table
 
@@ -506,3 +506,24 @@ def quote_locate(spark: SparkSession, d: str) -> DataFrame:
 def iso_duration_days(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "case_records").select("id", F.col("subject.age_at_last_encounter.iso8601duration").alias("d")).distinct().filter("d IS NOT NULL")
     return c.select("id", F.round(iso_days(F.col("d")), 4).alias("days"))
+
+
+def _whole_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without known sections: the whole text is one abstract."""
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "text").distinct()
+    span = F.struct(F.lit("abstract").alias("section"), F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(None).cast("string").alias("heading"))
+    return docs.withColumn("spans", F.array(span))
+
+
+@query()
+def extract_records(spark: SparkSession, d: str) -> DataFrame:
+    """Dictionary extraction over all documents: findings, best diagnosis and gene per document, flattened to counts."""
+    b = Base(spark, d)
+    labels = dag.label_index(b.terms)
+    finding_words = grounding.dictionary(labels.filter(F.col("term").startswith("HP:")))
+    illness = grounding.dictionary(labels.filter(F.col("term").startswith("MONDO:")))
+    v = b.current().select(F.explode("variants").alias("v")).select(F.col("v.gene.label").alias("symbol"), clean_id(F.col("v.gene.id")).alias("gene"))
+    symbols = v.filter("symbol IS NOT NULL AND gene IS NOT NULL").groupBy("symbol").agg(F.min("gene").alias("gene"))
+    r = extract.dictionary_records(_whole_texts(spark, d), finding_words, illness, symbols, b.closure())
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).alias(f"n_{c}")
+    return r.select("doc_id", size("phenotypes"), F.get("diagnoses", F.lit(0))["disease"].alias("disease"), F.get("variants", F.lit(0))["gene"].alias("gene"), size("qa_flags"))
