@@ -31,8 +31,8 @@ def term_counts(records: DataFrame, key: str = "id", terms: str = "terms", repea
 
 def collection_statistics(counts: DataFrame, n_records: DataFrame) -> DataFrame:
     """(term, df, cf, n_records, idf, ridf) over all records; ``n_records`` is one row, one column."""
-    n = n_records.toDF("n_records")
-    stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(n))  # one row
+    n = n_records.first()[0]  # one number
+    stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).withColumn("n_records", F.lit(n).cast("long"))
     return stats.select("*", (-F.log2(F.col("df") / F.col("n_records"))).alias("idf"), residual_idf(F.col("df"), F.col("cf"), F.col("n_records")).alias("ridf"))
 
 
