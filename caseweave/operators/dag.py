@@ -115,16 +115,21 @@ def information_content(rows: DataFrame, counts: DataFrame, total: DataFrame) ->
     return joined.select("term", F.when(F.col("total") > 0, share).otherwise(F.lit(0.0)).alias("ic"))
 
 
-def pair_ic(left: DataFrame, right: DataFrame, closed: DataFrame, ic: DataFrame) -> DataFrame:
+def pair_ic(left: DataFrame, right: DataFrame, closed: DataFrame, ic: DataFrame, positive: bool = False, with_mica: bool = True) -> DataFrame:
     """(a, b, mica, ic) for the terms of two frames with a column ``term`` that have a common ancestor.
 
     The most informative common ancestor, ties to the least id. Only terms that occur are joined, on the ancestor.
+    ``positive`` leaves out ancestors without information before the join, which at the top of a hierarchy would bring
+    every term together with every other; ``with_mica=False`` gives (a, b, ic) from a plain maximum.
     """
-    up = closed.select("term", "ancestor").join(ic.select(F.col("term").alias("ancestor"), "ic"), "ancestor")
+    worth = ic.select(F.col("term").alias("ancestor"), "ic")
+    up = closed.select("term", "ancestor").join(worth.filter("ic > 0") if positive else worth, "ancestor")
     a = left.select("term").distinct().join(up, "term").select(F.col("term").alias("a"), "ancestor", "ic")
     b = right.select("term").distinct().join(closed.select("term", "ancestor"), "term").select(F.col("term").alias("b"), "ancestor")
-    met = a.join(b, "ancestor").groupBy("a", "b").agg(F.max("ic").alias("ic"), F.min_by("ancestor", F.struct(-F.col("ic"), "ancestor")).alias("mica"))
-    return met.select("a", "b", "mica", "ic")
+    met = a.join(b, "ancestor").groupBy("a", "b")
+    if not with_mica:
+        return met.agg(F.max("ic").alias("ic"))
+    return met.agg(F.max("ic").alias("ic"), F.min_by("ancestor", F.struct(-F.col("ic"), "ancestor")).alias("mica")).select("a", "b", "mica", "ic")
 
 
 def lin(pairs: DataFrame, ic: DataFrame) -> DataFrame:

@@ -54,10 +54,12 @@ def _bare(x):  # noqa: ANN001, ANN202
 
 def unprovenanced(records: DataFrame) -> DataFrame:
     """(id, paths): assertions without evidence as list[position]=id."""
-    parts = []
-    for name, about in LISTS:
-        marked = F.transform(name, lambda x, i, n=name, a=about: F.when(_bare(x), F.concat(F.lit(f"{n}["), i.cast("string"), F.lit("]="), F.coalesce(x[a]["id"], F.lit("")))))
-        parts.append(F.coalesce(F.filter(marked, lambda x: x.isNotNull()), F.array().cast("array<string>")))
+    def paths(name: str, about: str):  # noqa: ANN202
+        path = lambda x, i: F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]="), F.coalesce(x[about]["id"], F.lit("")))
+        marked = F.transform(name, lambda x, i: F.when(_bare(x), path(x, i)))
+        return F.coalesce(F.filter(marked, lambda x: x.isNotNull()), F.array().cast("array<string>"))
+
+    parts = [paths(name, about) for name, about in LISTS]
     return records.select("id", F.concat(*parts).alias("paths"))
 
 

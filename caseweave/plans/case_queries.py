@@ -236,7 +236,7 @@ def _ranked(spark: SparkSession, d: str):  # noqa: ANN202
     profiles = b.live(records.observed_terms(cur)).select(F.col("id").alias("profile"), "term")
     asked = table(spark, d, "case_hits").filter("hit_id % 50 = 0").select(F.col("query_case_id").alias("query")).distinct()
     queries = profiles.withColumnRenamed("profile", "query").join(asked, "query", "left_semi")
-    pairs = cut(dag.pair_ic(queries, profiles, closed, ic).filter("ic > 0"))
+    pairs = cut(dag.pair_ic(queries, profiles, closed, ic, positive=True, with_mica=False))
     return b, cur, queries, profiles, pairs, cut(rank.top(rank.best_match(queries, profiles, pairs), 20, 5))
 
 
@@ -269,7 +269,7 @@ def _disease_ranked(spark: SparkSession, d: str):  # noqa: ANN202
     queries = cut(b.live(records.observed_terms(cur)).join(asked, "id", "left_semi").select(F.col("id").alias("query"), "term"))
     prof = qa.profile(b.annotations(), "phenotypes")
     profiles = cut(qa.live(prof, "term", b.alias).select(F.col("disease").alias("profile"), "term"))
-    pairs = cut(dag.pair_ic(queries, profiles, closed, ic).filter("ic > 0"))
+    pairs = cut(dag.pair_ic(queries, profiles, closed, ic, positive=True, with_mica=False))
     top = cut(rank.top(rank.best_match(queries, profiles, pairs, min_terms=2), 100, 5))
     gold = records.diagnosis_ids(cur.join(asked, "id", "left_semi")).select(F.col("id").alias("query"), F.explode("diseases").alias("item"))
     return top, gold
