@@ -49,7 +49,12 @@ def entries(value: Any) -> list[Any]:
 
 
 def as_text(value: Any) -> str | None:
-    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    """Text as it is, other values as JSON; halves of surrogate pairs become question marks, too deep values null."""
+    try:
+        text = value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+    except RecursionError:
+        return None
+    return text if text is None or text.isascii() else text.encode("utf-8", "replace").decode()
 
 
 class Walk:
@@ -80,11 +85,11 @@ class Walk:
         about = item.get({"phenotype": "term", "diagnosis": "disease", "variant": "gene"}[kind])
         about = about if isinstance(about, dict) else {}
         rest = {k: v for k, v in item.items() if k not in ("evidence", "term", "disease", "gene")}
-        me = self.enter(kind, pos, about.get("id"), about.get("label"), json.dumps(rest, ensure_ascii=False, sort_keys=True))
+        me = self.enter(kind, pos, about.get("id"), about.get("label"), as_text(rest))
         for i, ev in enumerate(entries(item.get("evidence"))):
             if isinstance(ev, dict):
                 rest = {k: v for k, v in ev.items() if k not in ("source_id", "section")}
-                self.leave(self.enter("evidence", i, ev.get("source_id"), ev.get("section"), json.dumps(rest, ensure_ascii=False, sort_keys=True)))
+                self.leave(self.enter("evidence", i, ev.get("source_id"), ev.get("section"), as_text(rest)))
         self.leave(me)
 
 

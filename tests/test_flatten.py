@@ -30,6 +30,7 @@ def test_shapes(spark):
 def test_bad_payloads(spark):
     bad = ["", None, "{", "[1]", "3", '{"id": NaN, "phenotypes": []}', "{}", '{"records": null}', '{"record": "x"}']
     assert found(spark, list(enumerate(bad))) == []
+    assert found(spark, [(1, '{"id": "\\ud800x", "variants": {"evidence": {"source_id": "é\\ud800", "n": "\\ud800"}}}')]) == [(1, "?x", "variant", 0, 0, "é?")]
     assert flatten.nodes(frame(spark, [])).count() == 0
 
 
