@@ -88,8 +88,16 @@ def negation_cue(text: Column, start: Column, end: Column, window: int = WINDOW)
 def locate(text: Column, quote: Column) -> Column:
     """Offset of the first occurrence of the trimmed quote, else of the quote with its blanks squeezed; null if neither occurs."""
     q = F.trim(quote)
-    squeezed = F.regexp_replace(q, r"\s+", " ")
-    at = F.coalesce(F.nullif(F.instr(text, q), F.lit(0)), F.nullif(F.instr(text, squeezed), F.lit(0)))
+    return locate_either(text, q, squeezed(q))
+
+
+def squeezed(quote: Column) -> Column:
+    return F.regexp_replace(quote, r"\s+", " ")
+
+
+def locate_either(text: Column, q: Column, squeezed: Column) -> Column:
+    """``locate`` with the trimmed and the squeezed quote given, so that a join makes them once a quote and not once a pair."""
+    at = F.coalesce(F.nullif(F.instr(text, q), F.lit(0)), F.when(squeezed != q, F.nullif(F.instr(text, squeezed), F.lit(0))))
     return F.when(q != "", at - 1)
 
 

@@ -495,11 +495,16 @@ def gene_mentions(spark: SparkSession, d: str) -> DataFrame:
 @query(FULL + """, e AS (SELECT DISTINCT cur.source.pmid AS pmid, ev.quote AS quote FROM (SELECT id, unnest(phenotypes) AS p FROM cur) x JOIN cur USING (id), unnest(x.p.evidence) AS u(ev) WHERE ev.quote IS NOT NULL AND trim(ev.quote) <> '')
 SELECT doc_id, quote, instr(text, trim(quote)) - 1 AS at FROM e JOIN (SELECT DISTINCT doc_id, pmid, text FROM documents) d USING (pmid) WHERE instr(text, trim(quote)) > 0""")
 def quote_locate(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence quotes of findings, diagnoses and variants in the texts of their paper; see ``locate`` for what counts as found."""
     cur = Base(spark, d).current()
-    quotes = cur.select(F.col("source.pmid").alias("pmid"), F.explode("phenotypes").alias("p")).select("pmid", F.explode("p.evidence").alias("e")).select("pmid", F.col("e.quote").alias("quote"))
+    quotes = None
+    for name, _ in records.LISTS:
+        one = cur.select(F.col("source.pmid").alias("pmid"), F.explode(f"{name}.evidence").alias("e")).select("pmid", F.explode("e.quote").alias("quote"))
+        quotes = one if quotes is None else quotes.unionByName(one)
     docs = table(spark, d, "documents").select("doc_id", "pmid", "text").distinct()
-    j = docs.join(quotes.filter(F.trim("quote") != "").distinct(), "pmid")
-    return j.select("doc_id", "quote", (F.instr("text", F.trim("quote")) - 1).cast("long").alias("at")).filter("at >= 0")
+    quotes = quotes.filter(F.trim("quote") != "").distinct().withColumn("q", F.regexp_replace("quote", r"^\s+|\s+$", "")).withColumn("s", tx.squeezed(F.col("q")))
+    j = docs.join(quotes, "pmid")
+    return j.select("doc_id", "quote", tx.locate_either(F.col("text"), F.col("q"), F.col("s")).cast("long").alias("at")).filter("at >= 0")
 
 
 @query(f"SELECT id, round({ISO_SQL.format(c='d')}, 4) AS days FROM (SELECT DISTINCT id, subject.age_at_last_encounter.iso8601duration AS d FROM case_records) WHERE d IS NOT NULL")

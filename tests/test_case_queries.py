@@ -1,3 +1,4 @@
+from datetime import datetime
 from itertools import combinations
 
 from caseweave.plans import case_queries
@@ -22,3 +23,19 @@ def test_distance_of_all_siblings(spark, tmp_path):
     pairs |= {(a, b) for a, b in combinations(sorted(parents), 2) if set(parents[a]) & set(parents[b]) & set(parents)}
     want = [(a, b, min(up[a][c] + up[b][c] for c in up[a].keys() & up[b].keys())) for a, b in pairs]
     assert rows(case_queries.dag_path_distance(spark, str(tmp_path)).select("a", "b", "distance")) == sorted(want, key=repr)
+
+
+def test_quotes_of_all_evidence(spark, tmp_path):
+    spark.createDataFrame([("T:0", "all", [], [], False, None)], TERMS).write.parquet(f"{tmp_path}/terms.parquet")
+    ev = "evidence array<struct<quote:string>>"
+    lists = f"phenotypes array<struct<{ev.replace(' ', ':', 1)}>>, diagnoses array<struct<{ev.replace(' ', ':', 1)}>>, variants array<struct<{ev.replace(' ', ':', 1)}>>"
+    rest = ", ".join(f"{c} string" for c in ("schema_version", "subject", "confidence", "qa_flags", "extractors"))
+    quoted = lambda *q: [([(x,) for x in q],)]
+    found = quoted("had fits", "never said", "  ", None) + [(None,)]
+    record = ("r", datetime(2024, 1, 1), ("1",), found, quoted("iris\n atrophy"), quoted("\nc.5A>G\n", "had fits"), *[None] * 5)
+    bare = ("s", datetime(2024, 1, 1), ("1",), None, None, [], *[None] * 5)
+    spark.createDataFrame([record, bare], f"id string, ingested_at timestamp, source struct<pmid:string>, {lists}, {rest}").write.parquet(f"{tmp_path}/case_records.parquet")
+    text = "She had fits, iris atrophy and c.5A>G."
+    spark.createDataFrame([(1, "1", text), (2, "2", text), (3, "1", None)], "doc_id long, pmid string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(1, "had fits", text.index("had fits")), (1, "iris\n atrophy", text.index("iris")), (1, "\nc.5A>G\n", text.index("c.5"))]
+    assert rows(case_queries.quote_locate(spark, str(tmp_path))) == sorted(want, key=repr)
