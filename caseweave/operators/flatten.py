@@ -18,7 +18,9 @@ Defined cases:
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 from typing import Any
 
 import pandas as pd
@@ -34,12 +36,81 @@ def _refuse(name: str) -> Any:
     raise ValueError(name)
 
 
+BLANKS = re.compile(r"[ \t\n\r]*")
+NUMBER = re.compile(r"(-?(?:0|[1-9][0-9]*))(\.[0-9]+)?([eE][-+]?[0-9]+)?")
+WORDS = {"t": ("true", True), "f": ("false", False), "n": ("null", None)}
+
+
+def parse_any(text: str) -> Any:
+    """The value of a JSON text of any depth, without recursion; integers beyond Python's limit of digits stay text. ValueError if invalid."""
+    skip = lambda i: BLANKS.match(text, i).end()
+
+    def key(i: int) -> tuple[str, int]:
+        if text[i : i + 1] != '"':
+            raise ValueError(i)
+        name, i = scanstring(text, i + 1, True)
+        if text[(i := skip(i)) : i + 1] != ":":
+            raise ValueError(i)
+        return name, skip(i + 1)
+
+    open_: list[list[Any]] = []  # what is open, each with the key the next value goes to
+    at = skip(0)
+    while True:
+        c = text[at : at + 1]
+        if c in ("[", "{"):
+            value: Any = [] if c == "[" else {}
+            at = skip(at + 1)
+            if text[at : at + 1] != ("]" if c == "[" else "}"):
+                name, at = key(at) if c == "{" else (None, at)
+                open_.append([value, name])
+                continue
+            at += 1
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif c in WORDS and text.startswith(WORDS[c][0], at):
+            value, at = WORDS[c][1], at + len(WORDS[c][0])
+        elif m := NUMBER.match(text, at):
+            at = m.end()
+            try:
+                value = float(m[0]) if m[2] or m[3] else int(m[0])
+            except ValueError:
+                value = m[0]
+        else:
+            raise ValueError(at)
+        while True:
+            at = skip(at)
+            if not open_:
+                if at < len(text):
+                    raise ValueError(at)
+                return value
+            box, name = open_[-1]
+            if isinstance(box, list):
+                box.append(value)
+            else:
+                box[name] = value
+            c = text[at : at + 1]
+            if c == ",":
+                at = skip(at + 1)
+                if isinstance(box, dict):
+                    open_[-1][1], at = key(at)
+                break
+            if c != ("]" if isinstance(box, list) else "}"):
+                raise ValueError(at)
+            open_.pop()
+            value, at = box, at + 1
+
+
 def parse(text: Any) -> Any:
-    """The value of a JSON text; None if it is no valid JSON."""
+    """The value of a JSON text; None if it is no valid JSON. What ``json`` gives up on, too deep or too many digits, is read by ``parse_any``."""
     try:
         return json.loads(text, parse_constant=_refuse) if isinstance(text, str) else None
-    except (ValueError, RecursionError):
+    except json.JSONDecodeError:
         return None
+    except (ValueError, RecursionError):
+        try:
+            return parse_any(text)
+        except ValueError:
+            return None
 
 
 def entries(value: Any) -> list[Any]:

@@ -34,6 +34,28 @@ def test_bad_payloads(spark):
     assert flatten.nodes(frame(spark, [])).count() == 0
 
 
+def test_extreme_payloads(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    odd = ['{"x": %s, ' % deep, '{"x": %s, ' % ("7" * 5000), '{"x": {"y": [1, -2.5e3, true, null, "\\u00e9", %s]}, ' % ("[" * 200_000 + '{"a": {}, "b": []}' + "]" * 200_000)]
+    assert found(spark, [(i, o + '"id": "r", "variants": {"evidence": {"source_id": "PMID:1"}}}') for i, o in enumerate(odd)]) == [(i, "r", "variant", 0, 0, "PMID:1") for i in range(3)]
+    assert flatten.parse('{"id": %s}' % ("7" * 5000)) == {"id": "7" * 5000}
+    assert flatten.parse(deep[:-1]) is flatten.parse(deep + "x") is flatten.parse('{"a": NaN, "b": %s}' % ("7" * 5000)) is None
+
+
+@settings(deadline=None)
+@given(st.text(max_size=4) | st.text('[]{},:"\\0123-.eEtrufalsn \t\x0b', max_size=12) | st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda x: st.lists(x) | st.dictionaries(st.text(), x)).map(lambda v: json.dumps(v, indent=1)))
+def test_parse_any_is_json(text):
+    try:
+        want = json.loads(text, parse_constant=flatten._refuse)
+    except ValueError:
+        want = ValueError
+    try:
+        got = flatten.parse_any(text)
+    except ValueError:
+        got = ValueError
+    assert got == want and type(got) is type(want)
+
+
 def test_tables_keep_parents(spark):
     tree = flatten.nodes(frame(spark, [(1, json.dumps({"records": [REC, {**REC, "id": 7}]}))]))
     linked = flatten.with_parents(tree)
