@@ -209,10 +209,55 @@ def metric_cube(spark: SparkSession, d: str) -> DataFrame:
     return out.select("field", "track", "split", "n", *[F.round(c, 5).alias(c) for c in ("precision", "recall", "micro_f1", "macro_f1")])
 
 
+FIELDS = ("observed_exact", "observed_graded", "excluded_exact", "gene_exact", "disease_exact", "disease_normalised")
+
+
+def _case_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(id, field, parts), a row for each of the six fields of every case, of zeros where neither side has a value.
+
+    ``disease_exact`` compares ids as given, ``disease_normalised`` live ones.
+    """
+    b, _, _, _, g = _graded(spark, d)
+    rec = table(spark, d, "case_records").filter("id IS NOT NULL")
+    order = F.struct("ingested_at", F.xxhash64("phenotypes"), F.xxhash64("diagnoses", "variants"))  # the delivery _paper_pairs takes
+    first = cut(rec.groupBy("id").agg(F.min_by(F.struct("phenotypes", "diagnoses", "variants"), order).alias("r")).select("id", "r.*"))
+
+    def values(side: DataFrame) -> DataFrame:
+        plain = lambda sets, name: sets.select("id", F.explode(name).alias("term"))
+        diseases = records.diagnosis_ids(side)
+        fields = {
+            "observed_exact": b.live(records.observed_terms(side)), "excluded_exact": b.live(records.excluded_terms(side)), "gene_exact": plain(records.gene_ids(side), "genes"),
+            "disease_exact": plain(diseases, "diseases"), "disease_normalised": b.live(diseases.withColumnRenamed("diseases", "terms")),
+        }
+        out = None
+        for name, x in fields.items():
+            one = x.select("id", F.lit(name).alias("field"), F.col("term").alias("value"))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    exact = metrics.exact(values(first), values(b.current()), ["id", "field"])
+    scores = exact.unionByName(g.withColumn("field", F.lit("observed_graded")))
+    every = first.select("id", F.explode(F.array(*map(F.lit, FIELDS))).alias("field"))
+    return every.join(scores, ["id", "field"], "left").select("id", "field", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in metrics.PARTS])
+
+
+@query()
+def case_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _case_scores(spark, d)
+
+
+@query()
+def field_cube(spark: SparkSession, d: str) -> DataFrame:
+    """``metric_cube`` over all fields and cases of ``case_scores``; ``metric_cube`` itself leaves out cases without findings on either side."""
+    cur = Base(spark, d).current()
+    where = cur.select("id", F.col("source.pmid").alias("pmid")).filter("pmid IS NOT NULL").join(records.track(cur).select("pmid", "track"), "pmid").withColumn("split", tx.split_of(F.col("pmid"), "weave:"))
+    out = metrics.summarise(_case_scores(spark, d).join(where, "id"), ["track", "split"])
+    return out.select("field", "track", "split", "n", *[F.round(c, 5).alias(c) for c in ("precision", "recall", "micro_f1", "macro_f1")])
+
+
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    *_, g = _graded(spark, d)
-    return metrics.bootstrap(g.withColumn("field", F.lit("observed_graded")), "id")
+    return metrics.bootstrap(cut(_case_scores(spark, d)), "id")
 
 
 # ranking: the earlier search runs give the queries, all current records the profiles

@@ -39,3 +39,21 @@ def test_quotes_of_all_evidence(spark, tmp_path):
     spark.createDataFrame([(1, "1", text), (2, "2", text), (3, "1", None)], "doc_id long, pmid string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = [(1, "had fits", text.index("had fits")), (1, "iris\n atrophy", text.index("iris")), (1, "\nc.5A>G\n", text.index("c.5"))]
     assert rows(case_queries.quote_locate(spark, str(tmp_path))) == sorted(want, key=repr)
+
+
+def test_scores_of_all_fields(spark, tmp_path):
+    terms = [("T:0", [], None, None), ("T:1", ["T:0"], None, None), ("T:2", ["T:0"], None, None), ("M:1", [], None, None), ("M:9", [], True, "M:1")]
+    spark.createDataFrame([(t, t, p, [], o, n) for t, p, o, n in terms], TERMS).write.parquet(f"{tmp_path}/terms.parquet")
+    spark.createDataFrame([(1, "D:1", "T:1", None, None, None, None)], "ann_id long, disease_id string, hpo_id string, qualifier string, frequency string, sex string, aspect string").write.parquet(f"{tmp_path}/disease_annotations.parquet")
+    ref = "struct<id:string>"
+    kinds = f"phenotypes array<struct<term:{ref},excluded:boolean>>, diagnoses array<struct<disease:{ref}>>, variants array<struct<gene:{ref}>>"
+    rest = ", ".join(f"{c} string" for c in ("schema_version", "subject", "confidence", "qa_flags", "extractors"))
+    one = lambda i, year, seen, out, illness, gene: (i, datetime(year, 1, 1), ("1",), [((t,), False) for t in seen] + [((t,), True) for t in out], [((x,),) for x in illness], [((x,),) for x in gene], *[None] * 5)
+    cases = [one("a", 2020, ["T:1"], ["T:2"], ["M:9"], ["G:1", "G:2"]), one("a", 2021, ["T:1"], ["T:2", "T:0"], ["M:1"], ["G:2"]), one("b", 2020, [], [], [], [])]
+    spark.createDataFrame(cases, f"id string, ingested_at timestamp, source struct<pmid:string>, {kinds}, {rest}").write.parquet(f"{tmp_path}/case_records.parquet")
+    got = {(r["id"], r["field"]): (r["tp"], r["fp"], r["fn"]) for r in case_queries.case_scores(spark, str(tmp_path)).collect()}
+    want = {"observed_exact": (1, 0, 0), "observed_graded": (1, 0, 0), "excluded_exact": (1, 0, 1), "gene_exact": (1, 1, 0), "disease_exact": (0, 1, 1), "disease_normalised": (1, 0, 0)}
+    assert got == {("a", f): x for f, x in want.items()} | {("b", f): (0, 0, 0) for f in want}
+    cube = {r["field"]: r["n"] for r in case_queries.field_cube(spark, str(tmp_path)).filter("track = 'all' AND split = 'all'").collect()}
+    assert cube == dict.fromkeys(want, 2)
+    assert {r["field"] for r in case_queries.bootstrap_ci(spark, str(tmp_path)).collect()} == set(want)
