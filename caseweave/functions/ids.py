@@ -25,11 +25,15 @@ def newest(df: DataFrame, key: str, time: str, *columns: str) -> DataFrame:
     times are oldest; equal times are settled by a hash of the kept columns. Rows without a key are dropped.
     """
     kept = [c for c in columns if c not in (key, time)]
-    row = F.struct(F.col(time), *kept) if kept else F.struct(F.col(time))
-    order = F.struct(F.col(time), F.xxhash64(time, *kept))
-    return (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(F.col(key))
-        .agg(F.max_by(row, order).alias("_row"))
-        .select(key, "_row.*")
-    )
+    return newest_values(df, key, time, kept, {c: F.col(c) for c in kept})
+
+
+def newest_values(df: DataFrame, key: str, time: str, settle: list[str], values: dict[str, Column]) -> DataFrame:
+    """(key, time, values) of the newest row of every key: what is asked of a row is worked out before the shuffle, so only that moves.
+
+    ``settle`` names the columns whose hash settles equal times.
+    """
+    row = F.struct(F.col(time), *[v.alias(n) for n, v in values.items()])
+    order = F.struct(F.col(time), F.xxhash64(time, *settle))
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key), row.alias("_row"), order.alias("_order"))
+    return rows.groupBy(key).agg(F.max_by("_row", "_order").alias("_row")).select(key, "_row.*")

@@ -20,8 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.functions.ids import clean_id, trimmed
-from caseweave.operators.records import current_records
+from caseweave.functions.ids import clean_id, newest_values, trimmed
 from caseweave.session import cut, release
 
 
@@ -81,14 +80,14 @@ def classify(references: DataFrame, validity: DataFrame) -> DataFrame:
 
 def term_references(records: DataFrame, annotations: DataFrame, terms: DataFrame) -> DataFrame:
     """(ref_table, row_key, ref_id, ref_time): every reference to a term in the three tables."""
-    cur = current_records(records, "phenotypes", "diagnoses")
     none = F.array().cast("array<string>")
     in_records = F.concat(
         F.coalesce(F.transform("phenotypes", lambda p: p["term"]["id"]), none),
         F.coalesce(F.transform("diagnoses", lambda d: d["disease"]["id"]), none),
     )
+    cur = newest_values(records, "id", "ingested_at", ["phenotypes", "diagnoses"], {"refs": F.array_distinct(in_records)})
     rows = [
-        cur.select(F.lit("case_records").alias("ref_table"), F.col("id").alias("row_key"), F.explode(in_records).alias("r"), F.col("ingested_at").alias("ref_time")),
+        cur.select(F.lit("case_records").alias("ref_table"), F.col("id").alias("row_key"), F.explode("refs").alias("r"), F.col("ingested_at").alias("ref_time")),
         annotations.select(F.lit("disease_annotations").alias("ref_table"), F.col("ann_id").cast("string").alias("row_key"), F.col("hpo_id").alias("r"), F.col("created_at").alias("ref_time")),
         terms.select(
             F.lit("terms").alias("ref_table"), trimmed(F.col("term_id")).alias("row_key"),

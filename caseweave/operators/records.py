@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.functions.ids import clean_id, newest
+from caseweave.functions.ids import clean_id, newest, newest_values
 
 
 def current_records(records: DataFrame, *columns: str) -> DataFrame:
@@ -13,15 +13,25 @@ def current_records(records: DataFrame, *columns: str) -> DataFrame:
     return newest(records, "id", "ingested_at", *columns)
 
 
+def observed_ids(distinct: bool = True) -> Column:
+    """Cleaned ids of the findings that are not marked excluded, as an expression over ``phenotypes``."""
+    seen = F.filter("phenotypes", lambda p: ~F.coalesce(p["excluded"], F.lit(False)))
+    ids = F.filter(F.transform(seen, lambda p: clean_id(p["term"]["id"])), lambda t: t.isNotNull())
+    ids = F.coalesce(ids, F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(ids)) if distinct else ids
+
+
 def observed_terms(records: DataFrame, distinct: bool = True) -> DataFrame:
     """(id, terms): ids of the findings of each record that are not marked excluded, cleaned.
 
     A null list gives an empty one, null entries and null or blank ids are skipped, a null mark means observed.
     """
-    seen = F.filter("phenotypes", lambda p: ~F.coalesce(p["excluded"], F.lit(False)))
-    ids = F.filter(F.transform(seen, lambda p: clean_id(p["term"]["id"])), lambda t: t.isNotNull())
-    ids = F.coalesce(ids, F.array().cast("array<string>"))
-    return records.select("id", (F.array_sort(F.array_distinct(ids)) if distinct else ids).alias("terms"))
+    return records.select("id", observed_ids(distinct).alias("terms"))
+
+
+def current_observed(records: DataFrame, distinct: bool = True) -> DataFrame:
+    """``observed_terms`` of the current delivery of every record; only the ids are shuffled."""
+    return newest_values(records, "id", "ingested_at", ["phenotypes"], {"terms": observed_ids(distinct)}).select("id", "terms")
 
 
 def excluded_terms(records: DataFrame) -> DataFrame:
