@@ -51,8 +51,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    papers = table(spark, d, "eval_papers")
-    return splits.overlap_report(papers, splits.overlaps(papers))
+    rows = cut(splits.latest(table(spark, d, "eval_papers")))
+    return splits.overlap_report(rows, splits.overlaps_of(rows))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

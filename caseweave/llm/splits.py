@@ -1,32 +1,44 @@
 """Records of evaluation splits that also appear in the training split.
 
-Every text becomes its set of hashed runs of ``width`` words. Texts with the same set are one class. Evaluation and
-training classes are partitioned by n-gram hash and joined there; of each set only the rarest n-grams take part, as
-many as make sure that two sets at the threshold have one in common (prefix filtering, exact). For each class pair so
-hit the containment of the evaluation set in the training set and the overlap are computed on the whole sets.
+The evaluation side is made into an index of word n-gram hashes, the training side is scanned with it:
+
+1. Every text becomes its set of hashed runs of ``width`` words, written once. Texts with the same set are one class.
+2. A table of one-byte logarithmic counters, at most ``2**MAX_BITS`` of them whatever the data's size, tells how common
+   each n-gram of the evaluation side is in training. Several n-grams may share a counter: a counter then says too much,
+   never too little, which costs time and loses nothing.
+3. Of each evaluation set only the n-grams rarest in training are indexed, as many as make sure that any training set
+   at the threshold holds a certain number of them (what training has not at all is used up first).
+4. Training sets are scanned in Arrow batches against the counters of the indexed n-grams. Only hits leave the scan; they
+   are joined with the index by n-gram hash, which settles what shared a counter, and counted per pair: pairs with fewer
+   hits than that number are below the threshold.
+5. Containment of each evaluation set in each training set so hit, and the overlap, are computed on the whole sets.
 
 * Null texts and texts below ``min_tokens`` words take no part in the text comparison.
-* Repeated rows of an id count once, the last loaded wins. Ids are compared within the two sides only.
+* Repeated rows of an id count once, the last loaded wins, in the report too. Ids are compared within the two sides only.
 * Empty tables give no pairs; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from caseweave.functions.ids import trimmed
 from caseweave.session import cut
 
 #: A word: a maximal run of letters and digits.
 WORD = re.compile(r"[^\W_]+")
+MIN_BITS, MAX_BITS = 16, 24
+#: A pair goes on with one hit, and one more for each so many n-grams that it must share.
+PER_HIT = 12
 
 
 def split_name(c: Column) -> Column:
@@ -39,13 +51,16 @@ def registry_number(c: Column) -> Column:
 
 
 def shingle_sets(rows: DataFrame, width: int, min_tokens: int) -> DataFrame:
-    """(id, side, h): sorted distinct hashes of the runs of ``width`` words of texts of at least ``min_tokens`` words."""
+    """(id, side, k0, k1, h): sorted distinct hashes of the runs of ``width`` words of texts of at least ``min_tokens`` words.
+
+    ``k0`` and ``k1`` are 128 bits that name the set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, int] = {}
         odd = np.random.default_rng(width).integers(0, 2**63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            at, flat, ends = [], [], [0]
+            at, flat, ends, keys = [], [], [0], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 words = WORD.findall(text.lower()) if text else []
                 if len(words) < max(min_tokens, width):
@@ -66,62 +81,152 @@ def shingle_sets(rows: DataFrame, width: int, min_tokens: int) -> DataFrame:
                 at.append(i)
                 flat.append(h)
                 ends.append(ends[-1] + len(h))
+                keys.append(xxhash.xxh3_128_digest(h.tobytes()))
             if at:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), lists], names=["id", "side", "h"])
+                names = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(names[:, 0]), pa.array(names[:, 1]), lists], names=["id", "side", "k0", "k1", "h"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "side", "text").mapInArrow(run, f"id {kind}, side string, h array<bigint>")
+    return rows.select("id", "side", "text").mapInArrow(run, f"id {kind}, side string, k0 bigint, k1 bigint, h array<bigint>")
+
+
+def _slots(grams: np.ndarray, bits: int) -> np.ndarray:
+    return grams.view(np.uint64) >> np.uint64(64 - bits)
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(members, row of each) of a batch of lists."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    return lists.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def counters(sets: DataFrame, bits: int, only: Any = None) -> np.ndarray:
+    """One byte per slot of n-gram hashes: 0 where no set of ``sets`` (h) has one, else 1 + log2 of how many have.
+
+    Every task adds up its own share before the shuffle; the driver gets at most a number per slot. ``only`` is a
+    broadcast table: slots that are 0 there are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            slot, n = np.unique(_slots(_flat(batch.column(0))[0], bits), return_counts=True)
+            if only is not None:
+                there = only.value[slot] > 0
+                slot, n = slot[there], n[there]
+            mine[slot] += n.astype(np.uint32)
+        used = np.flatnonzero(mine)
+        for at in range(0, len(used), 1 << 16):
+            part = used[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(mine[part], pa.int64())], names=["slot", "n"])
+
+    level = (F.floor(F.log2(F.sum("n").cast("double"))) + 1).cast("byte")
+    found = sets.select("h").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(level.alias("n")).toArrow()
+    table = np.zeros(1 << bits, np.uint8)
+    table[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return table
+
+
+def rare_grams(sets: DataFrame, bits: int, common: Any, threshold: float) -> DataFrame:
+    """(gram, k0, k1, n, least): of each set of n members, those to index, and how many of them a set at the threshold has at least.
+
+    ``common`` is the broadcast table of training counters. A set at the threshold shares ``need`` members, so of all but
+    ``need - least`` of those that training has it shares ``least``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, row = _flat(batch.column(2))
+            sizes = np.bincount(row, minlength=batch.num_rows)
+            often = common.value[_slots(grams, bits)]
+            there = often > 0
+            grams, row, often = grams[there], row[there], often[there]
+            have = np.bincount(row, minlength=batch.num_rows)
+            need = np.ceil(sizes * threshold - 1e-9).astype(np.int64)
+            least = 1 + need // PER_HIT
+            order = np.lexsort((grams, often, row))
+            grams, row = grams[order], row[order]
+            rank = np.arange(len(row)) - np.concatenate([[0], np.cumsum(have)[:-1]])[row] if len(row) else row
+            chosen = (have >= need)[row] & (rank < (have - need + least)[row])
+            grams, row = grams[chosen], row[chosen]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(grams), batch.column(0).take(take), batch.column(1).take(take), pa.array(sizes[row], pa.int32()), pa.array(least[row], pa.int32())], names=["gram", "k0", "k1", "n", "least"])
+
+    return sets.select("k0", "k1", "h").mapInArrow(run, "gram bigint, k0 bigint, k1 bigint, n int, least int").distinct()
+
+
+def scan(sets: DataFrame, bits: int, indexed: Any) -> DataFrame:
+    """(gram, k0, k1, n): members of the sets that may be in the index, by its broadcast table of slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, row = _flat(batch.column(2))
+            sizes = np.bincount(row, minlength=batch.num_rows)
+            hit = indexed.value[_slots(grams, bits)]
+            grams, row = grams[hit], row[hit]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(grams), batch.column(0).take(take), batch.column(1).take(take), pa.array(sizes[row], pa.int32())], names=["gram", "k0", "k1", "n"])
+
+    return sets.select("k0", "k1", "h").mapInArrow(run, "gram bigint, k0 bigint, k1 bigint, n int").distinct()
 
 
 def text_overlaps(papers: DataFrame, threshold: float = 0.7, width: int = 3, min_tokens: int = 20) -> DataFrame:
     """(eval_id, train_id, containment, similarity) of (id, side, text); side is 'eval' or 'train'."""
-    sets = cut(shingle_sets(papers, width, min_tokens).withColumn("cls", F.md5(F.array_join("h", ","))))
-    who = sets.select("id", "side", "cls")
-    classes = who.groupBy("cls").agg(F.min("id").alias("id"), F.max(F.col("side") == "eval").alias("in_eval"), F.max(F.col("side") == "train").alias("in_train"))
-    # one row per class, with the set of its first paper
-    whole = cut(sets.select("id", "cls", "h").join(classes, ["cls", "id"]).select("cls", "in_eval", "in_train", "h"))
-    grams = whole.select("cls", "in_eval", "in_train", F.size("h").alias("n"), F.explode("h").alias("gram"))
-    # Only grams that both sides have can meet. In the order in which the others come first and these follow from the
-    # rarest to the commonest, the prefix of a set reaches into them by as many as its misses leave over.
-    met = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.max("in_eval").alias("e"), F.max("in_train").alias("t")).filter(F.col("e") & F.col("t") & (F.col("df") > 1)).select("gram", "df")
-    of_class = W.partitionBy("cls")
-    ranked = grams.join(met, "gram").withColumn("m", F.count(F.lit(1)).over(of_class)).filter(F.col("m") >= F.ceil(F.col("n") * threshold - 1e-9)).withColumn("rank", F.row_number().over(of_class.orderBy("df", "gram")))
-    keys = cut(ranked.filter(F.col("rank") <= F.col("m") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("cls", "in_eval", "in_train", "n", "gram"))
-    ev = keys.filter("in_eval").select("gram", F.col("cls").alias("cls_e"), F.col("n").alias("ne"))
-    tr = keys.filter("in_train").select("gram", F.col("cls").alias("cls_t"), F.col("n").alias("nt"))
-    hits = (
-        ev.join(tr, "gram")
-        .filter((F.col("cls_e") != F.col("cls_t")) & (F.least("ne", "nt") >= F.lit(threshold) * F.greatest("ne", "nt") - 1e-9))
-        .select("cls_e", "cls_t").distinct()
+    sc = papers.sparkSession.sparkContext
+    sets = cut(shingle_sets(papers, width, min_tokens))
+    ev, tr = sets.filter("side = 'eval'"), sets.filter("side = 'train'")
+    members = ev.agg(F.sum(F.size("h"))).first()[0] or 1
+    bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(members)) + 1))
+    asked = sc.broadcast(counters(ev, bits))
+    common = sc.broadcast(counters(tr, bits, asked))
+    index = cut(rare_grams(ev, bits, common, threshold))
+    slots = index.select(F.shiftrightunsigned("gram", 64 - bits).cast("int").alias("slot")).distinct().toArrow()  # at most 2**bits
+    marked = np.zeros(1 << bits, bool)
+    marked[slots["slot"].to_numpy()] = True
+    hits = scan(tr, bits, sc.broadcast(marked))
+    pairs = (
+        index.toDF("gram", "e0", "e1", "ne", "least").join(hits.toDF("gram", "t0", "t1", "nt"), "gram")
+        .filter((F.col("e0") != F.col("t0")) | (F.col("e1") != F.col("t1")))
+        .filter(F.least("ne", "nt") >= F.lit(threshold) * F.greatest("ne", "nt") - 1e-9)
+        .groupBy("e0", "e1", "t0", "t1").agg(F.count(F.lit(1)).alias("hits"), F.first("least").alias("least"))
+        .filter("hits >= least").select("e0", "e1", "t0", "t1")
     )
+    pairs = cut(pairs)
+    met = pairs.select(F.col("e0").alias("k0"), F.col("e1").alias("k1")).unionByName(pairs.select(F.col("t0").alias("k0"), F.col("t1").alias("k1"))).distinct()
+    whole = cut(sets.join(met, ["k0", "k1"], "left_semi").select("k0", "k1", "h").dropDuplicates(["k0", "k1"]))
+    both, ne, nt = F.size(F.array_intersect("he", "ht")), F.size("he"), F.size("ht")
     measured = (
-        hits.join(whole.select(F.col("cls").alias("cls_e"), F.col("h").alias("he")), "cls_e")
-        .join(whole.select(F.col("cls").alias("cls_t"), F.col("h").alias("ht")), "cls_t")
-        .select("cls_e", "cls_t", F.size("he").alias("ne"), F.size("ht").alias("nt"), F.size(F.array_intersect("he", "ht")).alias("both"))
-        .select("cls_e", "cls_t", (F.col("both") / F.col("ne")).alias("containment"), (F.col("both") / (F.col("ne") + F.col("nt") - F.col("both"))).alias("similarity"))
+        pairs.join(whole.toDF("e0", "e1", "he"), ["e0", "e1"]).join(whole.toDF("t0", "t1", "ht"), ["t0", "t1"])
+        .select("e0", "e1", "t0", "t1", ne.alias("ne"), nt.alias("nt"), both.alias("both"))
+        .select("e0", "e1", "t0", "t1", (F.col("both") / F.col("ne")).alias("containment"), (F.col("both") / (F.col("ne") + F.col("nt") - F.col("both"))).alias("similarity"))
         .filter(F.col("similarity") >= threshold - 1e-9)
-    )
-    e = who.filter("side = 'eval'").select(F.col("id").alias("eval_id"), F.col("cls").alias("cls_e"))
-    t = who.filter("side = 'train'").select(F.col("id").alias("train_id"), F.col("cls").alias("cls_t"))
-    near = measured.join(e, "cls_e").join(t, "cls_t").select("eval_id", "train_id", "containment", "similarity")
-    same = e.join(t, F.col("cls_e") == F.col("cls_t")).select("eval_id", "train_id", F.lit(1.0).alias("containment"), F.lit(1.0).alias("similarity"))
+    )
+    e, t = ev.select(F.col("id").alias("eval_id"), F.col("k0").alias("e0"), F.col("k1").alias("e1")), tr.select(F.col("id").alias("train_id"), F.col("k0").alias("t0"), F.col("k1").alias("t1"))
+    near = measured.join(e, ["e0", "e1"]).join(t, ["t0", "t1"]).select("eval_id", "train_id", "containment", "similarity")
+    same = e.join(t, (F.col("e0") == F.col("t0")) & (F.col("e1") == F.col("t1"))).select("eval_id", "train_id", F.lit(1.0).alias("containment"), F.lit(1.0).alias("similarity"))
     return near.unionByName(same)
 
 
+def latest(papers: DataFrame, eval_splits: tuple[str, ...] = ("dev", "test")) -> DataFrame:
+    """(id, side, split, source, number, text): the last loaded row of every paper of either side."""
+    source = trimmed(F.col("source")) if "source" in papers.columns else F.lit(None).cast("string")
+    split = split_name(F.col("split"))
+    row = F.struct("pmid", split.alias("split"), source.alias("source"), "abstract")
+    order = F.struct("loaded_at", F.xxhash64("pmid", "split", "abstract"))
+    last = papers.filter(F.col("paper_id").isNotNull()).groupBy("paper_id").agg(F.max_by(row, order).alias("r")).select("paper_id", "r.*")
+    side = F.when(F.col("split") == "train", "train").when(F.col("split").isin(*eval_splits), "eval")
+    return last.select(F.col("paper_id").alias("id"), side.alias("side"), "split", "source", registry_number(F.col("pmid")).alias("number"), F.col("abstract").alias("text")).filter(F.col("side").isNotNull())
+
+
 def overlaps(papers: DataFrame, threshold: float = 0.7, width: int = 3, min_tokens: int = 20, eval_splits: tuple[str, ...] = ("dev", "test")) -> DataFrame:
     """(eval_id, train_id, same_number, containment, similarity): all overlaps of (paper_id, pmid, split, abstract)."""
-    split = split_name(F.col("split"))
-    side = F.when(split == "train", "train").when(split.isin(*eval_splits), "eval")
-    rows = (
-        papers.filter(F.col("paper_id").isNotNull())
-        .groupBy("paper_id")
-        .agg(F.max_by(F.struct("pmid", "split", "abstract"), F.struct("loaded_at", F.xxhash64("pmid", "split", "abstract"))).alias("r"))
-        .select("paper_id", "r.*")
-        .select(F.col("paper_id").alias("id"), side.alias("side"), registry_number(F.col("pmid")).alias("number"), F.col("abstract").alias("text"))
-        .filter(F.col("side").isNotNull())
-    )
-    rows = cut(rows)
+    return overlaps_of(cut(latest(papers, eval_splits)), threshold, width, min_tokens)
+
+
+def overlaps_of(rows: DataFrame, threshold: float = 0.7, width: int = 3, min_tokens: int = 20) -> DataFrame:
+    """``overlaps`` of the frame that ``latest`` gives."""
     near = text_overlaps(rows, threshold, width, min_tokens)
     numbered = rows.filter(F.col("number").isNotNull())
     e = numbered.filter("side = 'eval'").select(F.col("id").alias("eval_id"), "number")
@@ -131,8 +236,8 @@ def overlaps(papers: DataFrame, threshold: float = 0.7, width: int = 3, min_toke
     return both.groupBy("eval_id", "train_id").agg(F.max("same_number").alias("same_number"), F.max("containment").alias("containment"), F.max("similarity").alias("similarity"))
 
 
-def overlap_report(papers: DataFrame, found: DataFrame) -> DataFrame:
-    """(split, source, n_papers, n_overlapping): evaluation papers and those with an overlap, by split and source."""
-    who = papers.select("paper_id", split_name(F.col("split")).alias("split"), F.coalesce(trimmed(F.col("source")), F.lit("unknown")).alias("source")).filter(F.col("split").isin("dev", "test")).distinct()
+def overlap_report(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(split, source, n_papers, n_overlapping): evaluation papers of ``latest`` and those with an overlap, by split and source."""
+    who = rows.filter("side = 'eval'").select(F.col("id").alias("paper_id"), "split", F.coalesce("source", F.lit("unknown")).alias("source"))
     hit = found.select(F.col("eval_id").alias("paper_id")).distinct().withColumn("hit", F.lit(1))
-    return who.join(hit, "paper_id", "left").groupBy("split", "source").agg(F.countDistinct("paper_id").alias("n_papers"), F.count("hit").alias("n_overlapping"))
+    return who.join(hit, "paper_id", "left").groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_papers"), F.count("hit").alias("n_overlapping"))
