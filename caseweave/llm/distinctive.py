@@ -2,9 +2,10 @@
 
 Residual inverse document frequency: the observed idf of a term, -log2(df / N), minus the idf that a Poisson spread of
 its occurrences over the N records would show, -log2(1 - exp(-cf / N)), times how often the record has the term. Terms
-piled up in few records score high, terms scattered evenly score low. With ``repeats=False`` (the default) a term
-counts once per record, so cf = df and the residual falls strictly as df rises: the highest score of a record is that
-of its rarest term.
+piled up in few records score high, terms scattered evenly score low: with ``repeats=True`` a term listed again in a
+record counts again, so of two terms found in equally many records the one that is repeated there scores higher. With
+``repeats=False`` (the default) a term counts once per record, so cf = df and the residual falls strictly as df rises:
+the highest score of a record is that of its rarest term.
 
 * Null sets are empty, null terms are ignored; a record without terms gives no row.
 * A term that no record of the collection has keeps the limit of the residual for df -> 0, which is 0, the highest.
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseweave.session import cut
+
 
 def residual_idf(df: Column, cf: Column, n: Column) -> Column:
     """-log2(df/n) + log2(1 - exp(-cf/n)); 0 where df is 0."""
@@ -37,16 +40,19 @@ def collection_statistics(counts: DataFrame, n_records: DataFrame) -> DataFrame:
 
 
 def distinctiveness(counts: DataFrame, stats: DataFrame) -> DataFrame:
-    """(key, term, tf, df, score): every term of every record with its score, terms unknown to the collection too."""
-    return counts.join(stats.select("term", "df", "ridf"), "term", "left").select(
-        "key", "term", "tf", F.coalesce("df", F.lit(0).cast("long")).alias("df"), (F.coalesce("ridf", F.lit(0.0)) * F.col("tf")).alias("score")
+    """(key, term, tf, df, cf, score): every term of every record with its score, terms unknown to the collection too."""
+    none = F.lit(0).cast("long")
+    return counts.join(stats.select("term", "df", "cf", "ridf"), "term", "left").select(
+        "key", "term", "tf", F.coalesce("df", none).alias("df"), F.coalesce("cf", none).alias("cf"), (F.coalesce("ridf", F.lit(0.0)) * F.col("tf")).alias("score")
     )
 
 
 def most_distinctive(scored: DataFrame, *keys: str) -> DataFrame:
     """All terms of a record whose score is the record's highest, ties included.
 
-    The maximum is found by an aggregate, so a record of any size is reduced before the shuffle.
+    The scores are written once; the maximum is found by an aggregate, so a record of any size is reduced before the
+    shuffle.
     """
+    scored = cut(scored)
     best = scored.groupBy(*keys).agg(F.max("score").alias("best"))
     return scored.join(best, list(keys)).filter(F.col("score") == F.col("best")).drop("best")

@@ -9,40 +9,36 @@ from pyspark.sql import functions as F
 
 from caseweave.functions.ids import clean_id
 from caseweave.llm import consensus, distinctive, mixing, sentences, setsim, spans, splits, tokenise
-from caseweave.operators.records import current_records, observed_terms
+from caseweave.operators.records import current_observed
 from caseweave.session import cut, table
 
 
-def current_terms(spark: SparkSession, d: str) -> DataFrame:
-    return observed_terms(current_records(table(spark, d, "case_records"), "phenotypes"))
-
-
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = setsim.similar_pairs(current_terms(spark, d), "id", "terms", threshold=0.75, min_size=4)
+    pairs = setsim.similar_pairs(current_observed(table(spark, d, "case_records")), "id", "terms", threshold=0.75, min_size=4)
     return pairs.select(F.col("id_a").alias("case_id_a"), F.col("id_b").alias("case_id_b"))
 
 
-def scored_terms(spark: SparkSession, d: str) -> DataFrame:
-    """(record_kind, key, term, tf, df, score): terms of current records and of hits, scored against current records."""
-    records = cut(current_terms(spark, d))
-    counts = distinctive.term_counts(records)
+def scored_terms(spark: SparkSession, d: str, repeats: bool) -> DataFrame:
+    """(record_kind, key, term, tf, df, cf, score): terms of current records and of hits, scored against current records."""
+    records = cut(current_observed(table(spark, d, "case_records"), distinct=not repeats))
+    counts = distinctive.term_counts(records, repeats=repeats)
     stats = distinctive.collection_statistics(counts, records.agg(F.count(F.lit(1))))
     hits = table(spark, d, "case_hits").filter(F.col("hit_id").isNotNull()).select(
         F.col("hit_id").cast("string").alias("id"), F.transform("shared", lambda s: clean_id(s["id"])).alias("terms")
-    )
-    both = counts.withColumn("record_kind", F.lit("case")).unionByName(distinctive.term_counts(hits).withColumn("record_kind", F.lit("hit")))
+    ).distinct()
+    both = counts.withColumn("record_kind", F.lit("case")).unionByName(distinctive.term_counts(hits, repeats=repeats).withColumn("record_kind", F.lit("hit")))
     scored = distinctive.distinctiveness(both.select(F.struct("record_kind", "key").alias("key"), "term", "tf"), stats)
-    return scored.select("key.record_kind", "key.key", "term", "tf", "df", "score")
+    return scored.select("key.record_kind", "key.key", "term", "tf", "df", "cf", "score")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    best = distinctive.most_distinctive(scored_terms(spark, d), "record_kind", "key")
+    best = distinctive.most_distinctive(scored_terms(spark, d, repeats=False), "record_kind", "key")
     return best.select("record_kind", F.col("key").alias("record_key"), F.col("term").alias("term_id"))
 
 
 def p2_scores(spark: SparkSession, d: str) -> DataFrame:
-    s = scored_terms(spark, d)
-    return s.select("record_kind", F.col("key").alias("record_key"), F.col("term").alias("term_id"), "df", F.round("score", 6).alias("score"))
+    s = scored_terms(spark, d, repeats=True)
+    return s.select("record_kind", F.col("key").alias("record_key"), F.col("term").alias("term_id"), "tf", "df", "cf", F.round("score", 6).alias("score"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -141,8 +137,16 @@ pair AS (SELECT a.id AS x, b.id AS y, a.n AS na, b.n AS nb, count(*) AS k FROM s
 SELECT x AS case_id_a, y AS case_id_b FROM pair WHERE k >= 0.75 * (na + nb - k) - 1e-9""",
     "p2_found": _P2 + """SELECT record_kind, id AS record_key, term AS term_id FROM (
   SELECT *, min(df) OVER (PARTITION BY record_kind, id) AS least FROM scored) WHERE df = least""",
-    "p2_scores": _P2 + """SELECT record_kind, id AS record_key, term AS term_id, df,
-  round(CASE WHEN df = 0 THEN 0 ELSE log2((1 - exp(-df / n)) / (df / n)) END, 6) AS score FROM scored, n""",
+    "p2_scores": f"""WITH {_CURRENT},
+obs AS (SELECT id, upper(trim(p.term.id, {_BLANKS})) AS term FROM (SELECT id, unnest(phenotypes) AS p FROM cur) WHERE NOT coalesce(p.excluded, false) AND trim(coalesce(p.term.id, ''), {_BLANKS}) <> ''),
+tf AS (SELECT id, term, count(*) AS tf FROM obs GROUP BY 1, 2),
+st AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY 1),
+n AS (SELECT count(*)::DOUBLE AS n FROM cur),
+hit AS (SELECT id, term, count(*) AS tf FROM (SELECT id, upper(trim(s.id, {_BLANKS})) AS term FROM (SELECT id, unnest(shared) AS s FROM (SELECT DISTINCT hit_id::VARCHAR AS id, [{{'id': upper(trim(x.id, {_BLANKS}))}} FOR x IN shared] AS shared FROM case_hits))
+  WHERE s.id <> '') GROUP BY 1, 2),
+alls AS (SELECT 'case' AS record_kind, id, term, tf FROM tf UNION ALL SELECT 'hit', id, term, tf FROM hit)
+SELECT record_kind, id AS record_key, alls.term AS term_id, tf, coalesce(df, 0) AS df, coalesce(cf, 0) AS cf,
+  round(CASE WHEN df IS NULL THEN 0 ELSE tf * log2((1 - exp(-cf / n)) / (df / n)) END, 6) AS score FROM alls LEFT JOIN st USING (term), n""",
     "p3_found": _P3 + "SELECT least(e, t) AS paper_id_a, greatest(e, t) AS paper_id_b FROM found",
     "p3_report": _P3 + """SELECT split, coalesce(trim(source, {b}), 'unknown') AS source, count(DISTINCT paper_id) AS n_papers, count(hit) AS n_overlapping
   FROM side LEFT JOIN (SELECT DISTINCT e AS paper_id, 1 AS hit FROM found) USING (paper_id) WHERE side = 'e' GROUP BY 1, 2""".format(b=_BLANKS),
