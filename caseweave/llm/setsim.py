@@ -1,16 +1,17 @@
 """All pairs of set-valued records whose sets overlap above a threshold.
 
-Every set becomes a bit string: bit i says whether the i-th minhash of the set is odd. Two sets of Jaccard
-similarity J agree on a bit with probability (1 + J) / 2. The bit string has two parts:
+Every set becomes a binary code: bit i says whether the i-th minhash of the set is odd. Two sets of Jaccard similarity J
+agree on a bit with probability (1 + J) / 2, so the Hamming distance of their codes tells J.
 
-* ``segments`` of ``seg_bits`` bits each, the keys of an equi-join. Two strings that differ in fewer bits than there
-  are segments agree on one of them by the pigeonhole principle; the number of segments is calibrated so that a pair
-  at the threshold agrees on at least one with probability ``recall``.
-* a check code of 256 bits. A joined pair goes on only if the codes lie within the Hamming radius which a pair at the
-  threshold keeps with probability ``recall``.
+* The code is cut into segments of ``seg_bits`` bits, the keys of an equi-join. Two codes that differ in fewer bits than
+  there are segments agree on one of them by the pigeonhole principle; beyond that distance the number of segments is
+  calibrated so that a pair at the threshold agrees on at least one with probability ``recall``.
+* A joined pair goes on only if the Hamming distance of the first ``CHECK_BITS`` bits of the same codes lies within the
+  radius which a pair at the threshold keeps with probability ``recall``.
 
 What remains is verified on the sets themselves, so a returned pair is always right; ``recall`` (0.999999 unless
-told otherwise, for a pair exactly at the threshold, more above it) bounds what is missed.
+told otherwise, for a pair exactly at the threshold, more above it) bounds what is missed. Unless given, the width of a
+segment follows from the number of sets: wide enough that two unrelated sets in one segment are rare at any size.
 
 Equal sets are one class with one representative; only representatives are sketched and joined. Results are exact on:
 
@@ -25,13 +26,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.session import cut
 
-CODE_BITS = 256
+CHECK_BITS = 256
+MIN_SEG_BITS, MAX_SEG_BITS = 16, 32
 SEED = 20260101
 
 
@@ -48,23 +50,28 @@ def binomial_radius(bits: int, p: float, recall: float) -> int:
     return bits
 
 
-def calibrate(threshold: float, seg_bits: int, recall: float) -> tuple[int, int]:
-    """(number of segments, Hamming radius of the check code) for pairs at ``threshold``."""
+def segment_width(n_sets: int) -> int:
+    """Bits of a segment: a random one of ``n_sets`` codes agrees with a given one less than once a segment."""
+    return min(MAX_SEG_BITS, max(MIN_SEG_BITS, math.ceil(math.log2(max(1, n_sets)))))
+
+
+def calibrate(threshold: float, seg_bits: int, recall: float) -> tuple[int, int, int]:
+    """(number of segments, bits checked, Hamming radius of those) for pairs at ``threshold``."""
     if threshold >= 1:
-        return 1, 0
+        return 1, seg_bits, 0
     agree = ((1 + threshold) / 2) ** seg_bits
-    return math.ceil(math.log1p(-recall) / math.log1p(-agree)), binomial_radius(CODE_BITS, (1 - threshold) / 2, recall)
+    n_segments = math.ceil(math.log1p(-recall) / math.log1p(-agree))
+    checked = min(CHECK_BITS, n_segments * seg_bits)
+    return n_segments, checked, binomial_radius(checked, (1 - threshold) / 2, recall)
 
 
-def one_bit_minhashes(hashes: list[np.ndarray], n_bits: int) -> np.ndarray:
-    """A row of ``n_bits`` bits for every non-empty array of 64-bit member hashes."""
-    lengths = np.array([len(h) for h in hashes])
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    flat = np.concatenate(hashes).astype(np.int64).view(np.uint64)
+def one_bit_minhashes(flat: np.ndarray, starts: np.ndarray, n_bits: int) -> np.ndarray:
+    """A row of ``n_bits`` bits for every non-empty run of 64-bit member hashes that begins at one of ``starts``."""
+    flat = flat.view(np.uint64)
     rng = np.random.default_rng(SEED)
     odd = rng.integers(0, 2**63, n_bits, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, n_bits, dtype=np.uint64)
-    out = np.empty((len(hashes), n_bits), dtype=bool)
+    out = np.empty((len(starts), n_bits), dtype=bool)
     with np.errstate(over="ignore"):
         for i in range(n_bits):
             z = flat * odd[i] + add[i]
@@ -75,23 +82,30 @@ def one_bit_minhashes(hashes: list[np.ndarray], n_bits: int) -> np.ndarray:
     return out
 
 
-def sketches(sets: DataFrame, n_segments: int, seg_bits: int) -> DataFrame:
-    """(key, n, segs, c0..c3) of (key, members): segment values, each with its number in the high bits, and the code."""
+def sketches(sets: DataFrame, n_segments: int, seg_bits: int, checked: int) -> DataFrame:
+    """(key, n, segs, c0..c3) of (key, members): the segments of the code, each with its number in the high bits, and the code's first bits."""
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = (1 << np.arange(seg_bits)).astype(np.int64)
-        for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                part = pdf.iloc[at : at + 2000]
-                bits = one_bit_minhashes(list(part["hashes"]), n_segments * seg_bits + CODE_BITS)
-                segs = bits[:, : n_segments * seg_bits].reshape(len(part), n_segments, seg_bits) @ weights
-                segs += np.arange(n_segments, dtype=np.int64) << seg_bits
-                code = np.packbits(bits[:, n_segments * seg_bits :], axis=1).view(np.int64)
-                yield pd.DataFrame({"key": part["key"].values, "n": part["n"].values, "segs": list(segs), **{f"c{i}": code[:, i] for i in range(4)}})
+        number = np.arange(n_segments, dtype=np.int64) << seg_bits
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                lists = part.column(2)
+                offsets = lists.offsets.to_numpy()
+                bits = one_bit_minhashes(lists.flatten().to_numpy(), offsets[:-1] - offsets[0], n_segments * seg_bits)
+                segs = bits.reshape(part.num_rows, n_segments, seg_bits) @ weights + number
+                head = np.zeros((part.num_rows, CHECK_BITS), bool)
+                head[:, :checked] = bits[:, :checked]
+                code = np.packbits(head, axis=1).view(np.int64)
+                ends = pa.array(np.arange(part.num_rows + 1) * n_segments, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(segs.ravel())), *(pa.array(np.ascontiguousarray(code[:, i])) for i in range(4))], names=["key", "n", "segs", "c0", "c1", "c2", "c3"]
+                )
 
     hashed = sets.select("key", F.size("members").alias("n"), F.transform("members", lambda m: F.xxhash64(m)).alias("hashes"))
     kind = sets.schema["key"].dataType.simpleString()
-    return hashed.mapInPandas(sketch, f"key {kind}, n int, segs array<bigint>, c0 bigint, c1 bigint, c2 bigint, c3 bigint")
+    return hashed.mapInArrow(sketch, f"key {kind}, n int, segs array<bigint>, c0 bigint, c1 bigint, c2 bigint, c3 bigint")
 
 
 def set_classes(df: DataFrame, id_col: str, set_col: str, min_size: int) -> DataFrame:
@@ -111,19 +125,22 @@ def set_classes(df: DataFrame, id_col: str, set_col: str, min_size: int) -> Data
 
 
 def class_pairs(
-    left: DataFrame, right: DataFrame | None, threshold: float, seg_bits: int = 16, recall: float = 0.999999
+    left: DataFrame, right: DataFrame | None, threshold: float, seg_bits: int | None = None, recall: float = 0.999999
 ) -> DataFrame:
     """(key_a, key_b, shared, union) of (key, members) rows whose sets reach ``threshold``; one table or two.
 
-    With one table, key_a < key_b.
+    With one table, key_a < key_b. The segments are joined by the planner's own exchange, so adaptive execution may
+    split a segment that many codes agree on.
     """
-    n_segments, radius = calibrate(threshold, seg_bits, recall)
     a_sets, b_sets = left, left if right is None else right
+    if seg_bits is None:
+        seg_bits = segment_width(max(a_sets.count(), b_sets.count() if right is not None else 0))
+    n_segments, checked, radius = calibrate(threshold, seg_bits, recall)
+
     def by_segment(sets: DataFrame) -> DataFrame:
-        rows = sketches(sets, n_segments, seg_bits).select(F.explode("segs").alias("seg"), "key", "n", "c0", "c1", "c2", "c3")
-        return rows.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seg")
+        coded = cut(sketches(sets, n_segments, seg_bits, checked))
+        return coded.select(F.explode("segs").alias("seg"), "key", "n", "c0", "c1", "c2", "c3")
 
-    # one exchange serves both sides of a self-join
     sa = by_segment(a_sets)
     sb = sa if right is None else by_segment(b_sets)
     ea, eb = sa.toDF("seg", "key_a", "na", "a0", "a1", "a2", "a3"), sb.toDF("seg", "key_b", "nb", "b0", "b1", "b2", "b3")
@@ -145,7 +162,7 @@ def class_pairs(
 
 def similar_pairs(
     df: DataFrame, id_col: str, set_col: str, threshold: float = 0.75, min_size: int = 4,
-    seg_bits: int = 16, recall: float = 0.999999,
+    seg_bits: int | None = None, recall: float = 0.999999,
 ) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b: all pairs within one table, members of equal sets included."""
     members = set_classes(df, id_col, set_col, min_size)
@@ -164,7 +181,7 @@ def similar_pairs(
 
 def similar_pairs_between(
     left: DataFrame, right: DataFrame, id_col: str, set_col: str, threshold: float = 0.75, min_size: int = 4,
-    seg_bits: int = 16, recall: float = 0.999999,
+    seg_bits: int | None = None, recall: float = 0.999999,
 ) -> DataFrame:
     """(id_left, id_right, similarity) of all pairs between two tables."""
     ml, mr = set_classes(left, id_col, set_col, min_size), set_classes(right, id_col, set_col, min_size)

@@ -9,9 +9,11 @@ def jaccard(a, b):
 
 
 def test_calibration():
-    n, r = setsim.calibrate(0.75, 16, 0.999999)
-    assert (1 - ((1.75 / 2) ** 16)) ** n <= 1e-6 and r < setsim.CODE_BITS // 2
-    assert setsim.calibrate(1.0, 16, 0.999999) == (1, 0)
+    n, checked, r = setsim.calibrate(0.75, 16, 0.999999)
+    assert (1 - ((1.75 / 2) ** 16)) ** n <= 1e-6 and r < checked // 2
+    assert setsim.calibrate(1.0, 16, 0.999999) == (1, 16, 0)
+    assert setsim.calibrate(0.99, 16, 0.9)[1] < setsim.CHECK_BITS  # no more bits are checked than are cut into segments
+    assert setsim.segment_width(0) == setsim.segment_width(60_000) == 16 and setsim.segment_width(10**9) == 30
     assert setsim.binomial_radius(10, 0.5, 0.5) == 5
 
 
@@ -54,6 +56,8 @@ def test_distinctive(spark):
     assert rows(best.select("key", "term")) == [("a", "y"), ("b", "x"), ("c", "y"), ("e", "w"), ("e", "z"), ("h", "new")]
     again = distinctive.collection_statistics(distinctive.term_counts(df, repeats=True), df.selectExpr("count(*)"))
     assert {r["term"]: (r["df"], r["cf"]) for r in again.collect()}["y"] == (2, 3)
+    residual = {r["term"]: r["ridf"] for r in again.collect()}
+    assert residual["y"] > {r["term"]: r["ridf"] for r in stats.collect()}["y"]  # piled up in a record
     none = df.filter("false")
     assert distinctive.collection_statistics(distinctive.term_counts(none), none.selectExpr("count(*)")).count() == 0
 
@@ -89,6 +93,29 @@ def test_overlaps_against_brute_force(spark):
     found = splits.overlaps(df)
     got = [(r["eval_id"], r["train_id"]) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    report = splits.overlap_report(df, found).collect()
+    report = splits.overlap_report(splits.latest(df), found).collect()
     assert sum(r["n_overlapping"] for r in report) == len({e for e, _ in want})
     assert splits.overlaps(df.filter("false")).count() == 0
+
+
+def test_report_of_a_moved_paper(spark):
+    from datetime import datetime as T
+
+    text = " ".join(f"w{i}" for i in range(30))
+    data = [(1, "5", "dev", "old", text, T(2020, 1, 1)), (1, "5", "test", "new", text, T(2021, 1, 1)), (2, None, "train", "s", text, T(2020, 1, 1)), (3, None, "dev", None, None, None)]
+    df = spark.createDataFrame(data, "paper_id long, pmid string, split string, source string, abstract string, loaded_at timestamp")
+    last = splits.latest(df)
+    assert rows(splits.overlap_report(last, splits.overlaps_of(last))) == [("dev", "unknown", 1, 0), ("test", "new", 1, 1)]
+
+
+def test_scan_with_few_counters(spark, monkeypatch):
+    """All n-grams share two counters: nothing is lost."""
+    rng = random.Random(9)
+    monkeypatch.setattr(splits, "MIN_BITS", 1)
+    monkeypatch.setattr(splits, "MAX_BITS", 1)
+    base = [rng.choice("abcdefgh") * 2 + str(rng.randrange(50)) for _ in range(40)]
+    texts = [" ".join(base[:i] + ["new"] + base[i + 1 :]) for i in range(6)] + [" ".join(rng.sample(base, 40)) for _ in range(6)]
+    df = spark.createDataFrame([(i, "eval" if i % 2 else "train", t) for i, t in enumerate(texts)], "id long, side string, text string")
+    grams = [{tuple(t.split()[k : k + 3]) for k in range(38)} for t in texts]
+    want = {(e, t) for e in range(1, 12, 2) for t in range(0, 12, 2) if jaccard(grams[e], grams[t]) >= 0.7}
+    assert {(r["eval_id"], r["train_id"]) for r in splits.text_overlaps(df).collect()} == want and want
