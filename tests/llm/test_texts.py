@@ -25,6 +25,9 @@ CASES = [
     ("อาการปวด ค่า 5.2 mg สูง พบใน", ["อาการปวด", "ค่า 5.2 mg สูง", "พบใน"]),
     ("An open (bracket. And more. \"Quote.", ["An open (bracket.", "And more.", '"Quote.']),
     ("The gait was... uneven. Really?! Yes.", ["The gait was... uneven.", "Really?!", "Yes."]),
+    ("อายุ ๕๒ ปี มีอาการ", ["อายุ ๕๒ ปี", "มีอาการ"]),
+    ("Findings:\n1. Ptosis was seen.\n2. Fits.\na. Focal.\nb. Others.\n3. Ataxia.", ["Findings:\n1. Ptosis was seen.", "2. Fits.", "a. Focal.", "b. Others.", "3. Ataxia."]),
+    ("He was in grade\n7. Then he left.", ["He was in grade\n7.", "Then he left."]),
     ("", []), ("  \n\t ", []),
 ]
 
@@ -44,6 +47,15 @@ def test_units_cover(text):
     assert text[last:].strip() == ""
 
 
+@pytest.mark.parametrize("text", ["(" * 50_000 + "]" * 50_000, "(" * 8000 + ")" * 8000 + "»" * 8000, "… " * 50_000, "a." * 50_000, "fig.((((" * 15_000, "x" * 300_000 + "." + "y" * 300_000, "1.\n" * 30_000, "'\" " * 40_000])
+def test_hostile_texts_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    sentences.units(text)
+    assert time.process_time() - began < 2
+
+
 def test_sentences_frame(spark):
     df = spark.createDataFrame([(1, "One. Two.", "k"), (2, None, "k"), (3, "", "k"), (4, "x" * 100_000 + ". B.", "k")], "doc_id long, text string, start_char string")
     found = sentences.sentences(df)
@@ -104,9 +116,13 @@ def covered(i, texts, n):
     return sum(mark)
 
 
-def test_spans_against_brute_force(spark):
+@pytest.mark.parametrize("hot,at_once", [(spans.HOT, spans.AT_ONCE), (1, 1), (5, 3)])
+def test_spans_against_brute_force(spark, monkeypatch, hot, at_once):
+    """Ordinary anchors, hot ones by their windows, and both with blocks parsed a few at a time."""
     import random
 
+    monkeypatch.setattr(spans, "HOT", hot)
+    monkeypatch.setattr(spans, "AT_ONCE", at_once)
     rng = random.Random(11)
     chars = "abc🙂é "
     pool = ["".join(rng.choice(chars) for _ in range(rng.randrange(15, 60))) for _ in range(12)]
@@ -122,7 +138,18 @@ def test_spans_against_brute_force(spark):
     assert spans.SharedSpans(df.filter("false"), 20).pairs().count() == 0
 
 
-def test_factors():
-    found = spans.factors("xx" + "abcdefgh" + "yy" + "12345678", "12345678" + "--" + "abcdefgh", 8)
-    assert found == [(2, 10, 8), (12, 0, 8)]
-    assert spans.factors("abc", "abc", 8) == []
+def test_an_id_with_two_texts(spark):
+    a, b = "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba"
+    df = spark.createDataFrame([(1, a), (1, b), (2, "--" + a), (3, "++" + b)], "doc_id long, text string")
+    assert rows(spans.SharedSpans(df, 20).pairs()) == [(1, 2), (1, 3)]
+
+
+def test_parsing_blocks():
+    import numpy as np
+
+    one, two, three = "xx" + "abcdefgh" + "yy", "-abcdefgh-", "12345678"
+    p = spans.Parsed(np.array([5, 5, 5]), np.array([0, 1, 2]), [one, two, three], 8)
+    assert sorted(p.factors) == [(0, 2, 8), (1, 1, 8)]
+    assert [(a.tolist(), b.tolist()) for a, b in p.pairs()] == [([0], [1])]
+    alone = spans.Parsed(np.array([5, 6]), np.array([0, 1]), [one, two], 8)  # other anchors
+    assert alone.factors == [] and list(alone.pairs()) == []
