@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 
 #: Days of a year, month, week, day.
 DAYS = {"Y": 365.25, "M": 30.44, "W": 7.0, "D": 1.0}
-_SHAPE = r"^P(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)W)?(?:(\d+)D)?"
 
 
 def iso_days(c: Column) -> Column:
-    """Days of a duration like P1Y6M; null for null, other text, and all-zero durations but P0D."""
-    parts = [F.coalesce(F.regexp_extract(c, _SHAPE, i + 1).try_cast("double"), F.lit(0.0)) * days for i, days in enumerate(DAYS.values())]
-    total = parts[0] + parts[1] + parts[2] + parts[3]
-    return F.when(c == "P0D", F.lit(0.0)).when(c.rlike(_SHAPE) & (total > 0), total)
+    """Days of a duration like P1Y6M, blanks around it ignored; null for null, any other text, and all-zero durations but P0D.
+
+    The text behind P must be numbers with units, each unit at most once and from years down to days.
+    """
+    text = F.trim(c)
+    parts = F.regexp_extract_all(text, F.lit("[0-9]+[YMWD]"), F.lit(0))
+    units = F.array_join(F.transform(parts, lambda x: F.right(x, F.lit(1))), "")
+    whole = F.concat(F.lit("P"), F.array_join(parts, "")) == text
+    factor = F.create_map(*[F.lit(x) for pair in DAYS.items() for x in pair])
+    days = F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + F.left(x, F.length(x) - 1).try_cast("double") * F.element_at(factor, F.right(x, F.lit(1))))
+    return F.when(text == "P0D", F.lit(0.0)).when(whole & units.rlike("^Y?M?W?D?$") & (days > 0), days)
 
 
 def onset(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,8 +49,6 @@ def normalised(c: Column) -> Column:
 
 
 def words_pattern(words: tuple[str, ...]) -> str:
-    import re
-
     return "|".join(re.escape(w) for w in words)
 
 
@@ -58,8 +58,6 @@ def is_patient_heading(section: Column, heading: Column) -> Column:
 
 
 def _first_cue(reach: Column, cues: tuple[str, ...]) -> Column:
-    import re
-
     out = None
     for cue in cues:
         hit = reach.rlike(rf"(?:^|[^a-z]){re.escape(cue)}(?:[^a-z]|$)")
@@ -73,18 +71,41 @@ def negation_cue(text: Column, start: Column, end: Column, window: int = WINDOW)
     Left of the finding the last ``window`` characters behind the last ending of reach are searched, then right of it
     those before the first. The first cue in list order counts.
     """
-    low = F.lower(text)
     begin = F.greatest(start - window, F.lit(0))
-    left = F.substring(low, begin + 1, start - begin)
+    left = F.lower(F.substring(text, begin + 1, start - begin))
     # endings apply one after another, each to what the one before left over
     for stop in REACH_ENDS:
         left = F.substring_index(left, stop, -1)
-    right = F.substring(low, end + 1, F.lit(window))
+    right = F.lower(F.substring(text, end + 1, F.lit(window)))
     for stop in REACH_ENDS:
         right = F.substring_index(right, stop, 1)
     return F.coalesce(_first_cue(left, CUES_BEFORE), _first_cue(right, CUES_BEHIND))
 
 
+def _any_of(words: tuple[str, ...]) -> re.Pattern[str]:
+    return re.compile("|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)))
+
+
+def _alone(words: tuple[str, ...]) -> re.Pattern[str]:
+    return re.compile(f"(?<![a-z])(?:{_any_of(words).pattern})(?![a-z])")
+
+
+_REACH, _BEFORE, _BEHIND = _any_of(REACH_ENDS), _alone(CUES_BEFORE), _alone(CUES_BEHIND)
+_EACH = {cue: _alone((cue,)) for cue in (*CUES_BEFORE, *CUES_BEHIND)}
+
+
+def cue_near(text: str, start: int, end: int, window: int = WINDOW) -> str | None:
+    """``negation_cue`` of a text at hand, for functions that walk texts anyway."""
+    left = text[max(0, start - window) : start].lower()
+    left = left[max((m.end() for m in _REACH.finditer(left)), default=0) :]
+    if _BEFORE.search(left):
+        return next(c for c in CUES_BEFORE if _EACH[c].search(left))
+    right = text[end : end + window].lower()
+    stop = _REACH.search(right)
+    right = right[: stop.start()] if stop else right
+    return next((c for c in CUES_BEHIND if _EACH[c].search(right)), None) if _BEHIND.search(right) else None
+
+
 def locate(text: Column, quote: Column) -> Column:
     """Offset of the first occurrence of the trimmed quote, else of the quote with its blanks squeezed; null if neither occurs."""
     q = F.trim(quote)

@@ -12,23 +12,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.functions.ids import clean_id
+from caseweave.functions.ids import clean_id, newest
 from caseweave.session import cut, release
 
 
 def term_rows(terms: DataFrame) -> DataFrame:
-    """(id, name, obsolete, next, parents, alts), one row per term id."""
+    """(id, name, obsolete, next, parents, alts, added_at), one row per term id: the one modified last, settled by a hash."""
     empty = F.array().cast("array<string>")
 
     def cleaned(name: str) -> Column:
         ids = F.transform(F.coalesce(name, empty), clean_id)
         return F.array_sort(F.array_distinct(F.filter(ids, lambda x: x.isNotNull())))
 
+    time = lambda name: (F.col(name) if name in terms.columns else F.lit(None)).cast("timestamp").alias(name)
     rows = terms.select(
-        clean_id(F.col("term_id")).alias("id"), F.col("term_name").alias("name"), F.coalesce("obsolete", F.lit(False)).alias("obsolete"),
-        clean_id(F.col("replaced_by")).alias("next"), cleaned("parents").alias("parents"), cleaned("alt_ids").alias("alts"),
+        clean_id(F.col("term_id")).alias("id"), (F.col("term_name") if "term_name" in terms.columns else F.lit(None).cast("string")).alias("name"), F.coalesce("obsolete", F.lit(False)).alias("obsolete"),
+        clean_id(F.col("replaced_by")).alias("next"), cleaned("parents").alias("parents"), cleaned("alt_ids").alias("alts"), time("added_at"), time("modified_at"),
     )
-    return rows.filter(F.col("id").isNotNull()).groupBy("id").agg(*[F.max(c).alias(c) for c in ("name", "obsolete", "next", "parents", "alts")])
+    return newest(rows, "id", "modified_at", "name", "obsolete", "next", "parents", "alts", "added_at").drop("modified_at")
 
 
 def alias_closure(rows: DataFrame) -> DataFrame:
@@ -78,9 +79,9 @@ def closure(rows: DataFrame) -> DataFrame:
         longer = found.join(upper, "ancestor").groupBy("term", F.col("top").alias("ancestor")).agg(F.min(F.col("depth") + F.col("more")).alias("depth"))
         before, found = found, cut(longer)
         release(before)
-        if found.count() == n:
+        before_n, n = n, found.count()
+        if n == before_n:
             return found
-        n = found.count()
 
 
 def path_distance(pairs: DataFrame, closed: DataFrame, max_hops: int = 6) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.functions.ids import clean_id, newest_values, trimmed
+from caseweave.operators.dag import term_rows
 from caseweave.session import cut, release
 
 
@@ -30,17 +31,9 @@ def key_validity(terms: DataFrame) -> DataFrame:
     Chains of replacements are followed by doubling: each round joins the pointers with themselves, so a chain of
     length n takes log2(n) rounds, and what is still open when a round closes nothing is a circle.
     """
-    t = (
-        terms.select(
-            clean_id(F.col("term_id")).alias("id"), F.coalesce("obsolete", F.lit(False)).alias("obsolete"),
-            clean_id(F.col("replaced_by")).alias("next"), "added_at", "alt_ids",
-        )
-        .filter(F.col("id").isNotNull())
-        .groupBy("id")
-        .agg(F.min("obsolete").alias("obsolete"), F.max("next").alias("next"), F.min("added_at").alias("added_at"), F.flatten(F.collect_set(F.coalesce("alt_ids", F.array().cast("array<string>")))).alias("alts"))
-    )
+    t = cut(term_rows(terms))
     own = t.select(F.col("id").alias("ref_id"), F.col("id").alias("term"))
-    alts = t.select(F.explode("alts").alias("a"), F.col("id").alias("term")).select(clean_id(F.col("a")).alias("ref_id"), "term").filter(F.col("ref_id").isNotNull())
+    alts = t.select(F.explode("alts").alias("ref_id"), F.col("id").alias("term"))
     alts = alts.groupBy("ref_id").agg(F.min("term").alias("term")).join(own.select("ref_id"), "ref_id", "left_anti")
     keys = cut(own.unionByName(alts))
     # a step leads from a withdrawn term to the term its successor's key belongs to; end marks: live, deleted, missing

@@ -10,7 +10,7 @@ from caseweave.functions.durations import iso_days
 from caseweave.functions.ids import clean_id, trimmed
 from caseweave.operators import dag, extract, grounding, metrics, qa, rank, records, search
 from caseweave.plans.queries import BLANKS, query
-from caseweave.session import cut, table
+from caseweave.session import cut, release, table
 
 ROOT = "HP:9005920"  # the test ontology's most general finding; a parameter of the facet query
 
@@ -20,17 +20,17 @@ def clean(c: str) -> str:
     return f"nullif(upper(trim({c}, {BLANKS})), '')"
 
 
-TERMS_SQL = f"""t AS (SELECT {clean('term_id')} AS id, max(term_name) AS name, bool_or(coalesce(obsolete, false)) AS obsolete, max({clean('replaced_by')}) AS nxt
-  FROM terms WHERE {clean('term_id')} IS NOT NULL GROUP BY 1),
-alt AS (SELECT {clean('a')} AS src, min({clean('term_id')}) AS dst FROM (SELECT term_id, unnest(alt_ids) AS a FROM terms) WHERE {clean('a')} IS NOT NULL GROUP BY 1),
+TERMS_SQL = f"""trow AS (SELECT * FROM (SELECT *, {clean('term_id')} AS tid, row_number() OVER (PARTITION BY {clean('term_id')} ORDER BY modified_at DESC NULLS LAST) AS rn FROM terms WHERE {clean('term_id')} IS NOT NULL) WHERE rn = 1),
+t AS (SELECT tid AS id, term_name AS name, coalesce(obsolete, false) AS obsolete, {clean('replaced_by')} AS nxt FROM trow),
+alt AS (SELECT {clean('a')} AS src, min(tid) AS dst FROM (SELECT tid, unnest(alt_ids) AS a FROM trow) WHERE {clean('a')} IS NOT NULL GROUP BY 1),
 hop AS (SELECT id AS src, nxt AS dst FROM t WHERE obsolete AND nxt IS NOT NULL UNION ALL SELECT src, dst FROM alt WHERE src NOT IN (SELECT id FROM t WHERE obsolete AND nxt IS NOT NULL)),
 chain AS (SELECT src, dst, 1 AS n FROM hop UNION ALL SELECT c.src, h.dst, n + 1 FROM chain c JOIN hop h ON h.src = c.dst WHERE n < 50),
 fin AS (SELECT src, dst FROM chain WHERE dst NOT IN (SELECT src FROM hop)),
 circ AS (SELECT src FROM hop WHERE src NOT IN (SELECT src FROM fin)),
 alias AS (SELECT id AS src, id AS dst FROM t WHERE id NOT IN (SELECT src FROM hop) UNION ALL SELECT src, dst FROM fin WHERE dst IN (SELECT id FROM t)
   UNION ALL SELECT src, CASE WHEN src IN (SELECT id FROM t) THEN src ELSE (SELECT dst FROM alt WHERE alt.src = circ.src) END FROM circ),
-edge AS (SELECT DISTINCT {clean('term_id')} AS child, {clean('p')} AS parent FROM (SELECT term_id, unnest(parents) AS p FROM terms)
-  WHERE {clean('p')} IN (SELECT id FROM t) AND {clean('term_id')} IS NOT NULL),
+edge AS (SELECT DISTINCT tid AS child, {clean('p')} AS parent FROM (SELECT tid, unnest(parents) AS p FROM trow)
+  WHERE {clean('p')} IN (SELECT id FROM t)),
 closed AS (SELECT id AS term, id AS ancestor FROM t UNION SELECT c.term, e.parent FROM closed c JOIN edge e ON e.child = c.ancestor)"""
 ANN_SQL = f"""ann AS (SELECT DISTINCT ann_id, {clean('disease_id')} AS disease, {clean('hpo_id')} AS term, coalesce(upper(trim(qualifier)) = 'NOT', false) AS negated,
   nullif(trim(frequency), '') AS frequency, upper(nullif(trim(sex), '')) AS sex, upper(nullif(trim(aspect), '')) AS aspect
@@ -49,20 +49,37 @@ FULL = f"{WITH},\n{ANN_SQL},\n{IC_SQL},\n{CUR_SQL}\n"
 
 
 class Base:
-    """The shared frames of one folder. What follows from the ontology alone is written once per application."""
+    """The shared frames of one folder.
 
-    _kept: dict[tuple[str, str], "Base"] = {}
+    What follows from the ontology alone is written once per application and version of the ontology's files: a changed
+    file is read again, and of all versions the last ``KEPT`` stay.
+    """
+
+    KEPT = 4
+    _kept: dict[tuple[str, ...], "Base"] = {}
 
     def __init__(self, spark: SparkSession, d: str):
         self.spark, self.d = spark, d
         self.terms = table(spark, d, "terms")
-        first = self._kept.get(key := (spark.sparkContext.applicationId, d))
+        key = (spark.sparkContext.applicationId, d, *sorted(self.terms.select(F.concat_ws(" ", "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")).distinct().toPandas().iloc[:, 0]))
+        first = self._kept.pop(key, None)
         if first is None:
             self.rows = cut(dag.term_rows(self.terms))
             self.alias = cut(dag.alias_closure(self.rows))
             self._closed: DataFrame | None = None
-            self._kept[key] = first = self
+            first = self
+        self._kept[key] = first
         self.first, self.rows, self.alias = first, first.rows, first.alias
+        while len(self._kept) > self.KEPT:
+            old = self._kept.pop(next(iter(self._kept)))
+            if old.spark.sparkContext._jsc is not None and old.spark.sparkContext.applicationId == spark.sparkContext.applicationId:
+                for frame in (old.rows, old.alias, *([old._closed] if old._closed is not None else [])):
+                    release(frame)
+
+    @classmethod
+    def forget(cls) -> None:
+        """Makes the next query work everything out again, as a bench should."""
+        cls._kept.clear()
 
     def closure(self) -> DataFrame:
         if self.first._closed is None:
@@ -78,9 +95,13 @@ class Base:
         total = ann.agg(F.count_distinct("disease").cast("double").alias("total"))
         return cut(dag.information_content(self.rows, dag.propagated_counts(climbing, closed), total))
 
-    def current(self) -> DataFrame:
-        wanted = ("schema_version", "source", "subject", "phenotypes", "diagnoses", "variants", "confidence", "qa_flags", "extractors")
-        return cut(records.current_records(table(self.spark, self.d, "case_records"), *wanted))
+    def current(self, *columns: str) -> DataFrame:
+        """The current deliveries with ``columns`` (all, if none are named)."""
+        every = ("schema_version", "source", "subject", "phenotypes", "diagnoses", "variants", "confidence", "qa_flags", "extractors")
+        return cut(records.current_records(table(self.spark, self.d, "case_records"), *(columns or every)))
+
+    def observed(self) -> DataFrame:
+        return records.current_observed(table(self.spark, self.d, "case_records"))
 
     def live(self, sets: DataFrame) -> DataFrame:
         """(id, term) with terms resolved."""
@@ -99,7 +120,7 @@ def dag_closure(spark: SparkSession, d: str) -> DataFrame:
 
 @query(WITH + """, depth AS (SELECT id AS term, id AS ancestor, 0 AS k FROM t UNION SELECT d.term, e.parent, k + 1 FROM depth d JOIN edge e ON e.child = d.ancestor WHERE k < 6),
 least_d AS (SELECT term, ancestor, min(k) AS k FROM depth GROUP BY 1, 2),
-pairs AS (SELECT DISTINCT child AS a, parent AS b FROM edge UNION SELECT DISTINCT x.child, y.child FROM edge x JOIN edge y ON x.parent = y.parent AND x.child < y.child WHERE x.child LIKE '%7')
+pairs AS (SELECT DISTINCT child AS a, parent AS b FROM edge UNION SELECT DISTINCT x.child, y.child FROM edge x JOIN edge y ON x.parent = y.parent AND x.child < y.child)
 SELECT a, b, min(x.k + y.k) AS distance FROM pairs JOIN least_d x ON x.term = a JOIN least_d y ON y.term = b AND y.ancestor = x.ancestor GROUP BY 1, 2""")
 def dag_path_distance(spark: SparkSession, d: str) -> DataFrame:
     b = Base(spark, d)
@@ -127,32 +148,28 @@ def ic_propagated(spark: SparkSession, d: str) -> DataFrame:
     return b.ic(b.closure()).select("term", F.round("ic", 6).alias("ic"))
 
 
-PAIRS_SQL = """qt AS (SELECT DISTINCT term FROM ex), pt AS (SELECT DISTINCT term FROM ob WHERE id LIKE '%1'),
-met AS (SELECT x.term AS a, y.term AS b, max(ic.ic) AS ic FROM qt JOIN closed x ON x.term = qt.term JOIN ic ON ic.term = x.ancestor JOIN closed y ON y.ancestor = x.ancestor JOIN pt ON pt.term = y.term GROUP BY 1, 2)"""
-
-
 def _paper_pairs(spark: SparkSession, d: str):  # noqa: ANN202
-    """Predicted and gold findings per record: the earliest delivery against the current one."""
+    """Predicted and gold findings per record, and all records: the earliest delivery against the current one."""
     b = Base(spark, d)
     closed = b.closure()
     ic = b.ic(closed)
     rec = table(spark, d, "case_records").filter("id IS NOT NULL")
     first = rec.groupBy("id").agg(F.min_by("phenotypes", F.struct("ingested_at", F.xxhash64("phenotypes"))).alias("phenotypes"))
-    gold = b.live(records.observed_terms(b.current()))
-    pred = b.live(records.observed_terms(first))
-    return b, closed, ic, pred, gold
+    first = cut(first.select("id", records.observed_ids().alias("terms")))
+    return b, closed, ic, b.live(first), b.live(b.observed()), first.select("id")
 
 
 FIRST_SQL = f"""first_d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at NULLS FIRST) AS rn FROM case_records WHERE id IS NOT NULL) WHERE rn = 1),
 pr AS (SELECT DISTINCT id, alias.dst AS term FROM (SELECT id, unnest(phenotypes) AS p FROM first_d) s JOIN alias ON alias.src = {clean('p.term.id')} WHERE NOT coalesce(p.excluded, false))"""
 
 
-@query(FULL + "," + FIRST_SQL + """ SELECT coalesce(pr.id, ob.id) AS id, count(pr.id) FILTER (ob.id IS NOT NULL)::DOUBLE AS tp, count(pr.id) FILTER (ob.id IS NULL)::DOUBLE AS fp, count(ob.id) FILTER (pr.id IS NULL)::DOUBLE AS fn
-  FROM pr FULL JOIN ob ON pr.id = ob.id AND pr.term = ob.term GROUP BY 1""")
+@query(FULL + "," + FIRST_SQL + """ SELECT cur.id, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM cur LEFT JOIN (
+  SELECT coalesce(pr.id, ob.id) AS id, count(pr.id) FILTER (ob.id IS NOT NULL)::DOUBLE AS tp, count(pr.id) FILTER (ob.id IS NULL)::DOUBLE AS fp, count(ob.id) FILTER (pr.id IS NULL)::DOUBLE AS fn
+  FROM pr FULL JOIN ob ON pr.id = ob.id AND pr.term = ob.term GROUP BY 1) USING (id)""")
 def exact_prf(spark: SparkSession, d: str) -> DataFrame:
-    b, _, _, pred, gold = _paper_pairs(spark, d)
+    b, _, _, pred, gold, cases = _paper_pairs(spark, d)
     val = lambda x: x.select("id", F.col("term").alias("value"))
-    return metrics.exact(val(pred), val(gold), ["id"]).select("id", "tp", "fp", "fn")
+    return metrics.exact(val(pred), val(gold), ["id"], cases).select("id", "tp", "fp", "fn")
 
 
 GRADED_SQL = """ic2 AS (SELECT * FROM ic), pp AS (SELECT DISTINCT pr.term AS a, ob.term AS b FROM pr JOIN ob USING (id)),
@@ -162,18 +179,18 @@ s AS (SELECT pr.id, pr.term AS a, ob.term AS b, CASE WHEN lin >= 0.5 THEN lin EL
 tp_p AS (SELECT id, sum(x) AS tp_p FROM (SELECT id, a, max(s) AS x FROM s GROUP BY 1, 2) GROUP BY 1),
 tp_r AS (SELECT id, sum(x) AS tp_r FROM (SELECT id, b, max(s) AS x FROM s GROUP BY 1, 2) GROUP BY 1),
 np AS (SELECT id, count(*) AS np FROM pr GROUP BY 1), ng AS (SELECT id, count(*) AS ng FROM ob GROUP BY 1),
-g AS (SELECT coalesce(np.id, ng.id) AS id, coalesce(tp_p, 0) AS tp_p, coalesce(tp_r, 0) AS tp_r, coalesce(np, 0) - coalesce(tp_p, 0) AS fp, coalesce(ng, 0) - coalesce(tp_r, 0) AS fn
-  FROM np FULL JOIN ng ON np.id = ng.id LEFT JOIN tp_p ON tp_p.id = coalesce(np.id, ng.id) LEFT JOIN tp_r ON tp_r.id = coalesce(np.id, ng.id))"""
+g AS (SELECT cur.id, coalesce(tp_p, 0) AS tp_p, coalesce(tp_r, 0) AS tp_r, coalesce(np, 0) - coalesce(tp_p, 0) AS fp, coalesce(ng, 0) - coalesce(tp_r, 0) AS fn
+  FROM cur LEFT JOIN np USING (id) LEFT JOIN ng USING (id) LEFT JOIN tp_p USING (id) LEFT JOIN tp_r USING (id))"""
 
 
 def _graded(spark: SparkSession, d: str):  # noqa: ANN202
-    b, closed, ic, pred, gold = _paper_pairs(spark, d)
+    b, closed, ic, pred, gold, cases = _paper_pairs(spark, d)
     both = pred.select("id", F.col("term").alias("a")).join(gold.select("id", F.col("term").alias("b")), "id").select("a", "b").distinct()
     # only pairs that meet in a record are scored
     up = closed.select("term", "ancestor")
     met = both.join(up.select(F.col("term").alias("a"), "ancestor"), "a").join(up.select(F.col("term").alias("b"), "ancestor"), ["b", "ancestor"]).join(ic.select(F.col("term").alias("ancestor"), "ic"), "ancestor")
     sim = dag.lin(met.groupBy("a", "b").agg(F.max("ic").alias("ic")), ic)
-    return b, closed, pred, gold, metrics.graded(pred, gold, sim, ["id"])
+    return b, closed, pred, gold, metrics.graded(pred, gold, sim, ["id"], cases=cases)
 
 
 @query(FULL + "," + FIRST_SQL + "," + GRADED_SQL + " SELECT id, round(tp_p, 5) AS tp_p, round(tp_r, 5) AS tp_r, round(fp, 5) AS fp, round(fn, 5) AS fn FROM g")
@@ -183,10 +200,11 @@ def graded_prf(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(FULL + "," + FIRST_SQL + """, x AS (SELECT DISTINCT id, ancestor FROM pr JOIN closed USING (term)), y AS (SELECT DISTINCT id, ancestor FROM ob JOIN closed USING (term))
- SELECT coalesce(x.id, y.id) AS id, round(count(*) FILTER (x.id IS NOT NULL AND y.id IS NOT NULL) / count(*)::DOUBLE, 6) AS jaccard FROM x FULL JOIN y ON x.id = y.id AND x.ancestor = y.ancestor GROUP BY 1""")
+ SELECT cur.id, round(coalesce(j, 1.0), 6) AS jaccard FROM cur LEFT JOIN (
+  SELECT coalesce(x.id, y.id) AS id, count(*) FILTER (x.id IS NOT NULL AND y.id IS NOT NULL) / count(*)::DOUBLE AS j FROM x FULL JOIN y ON x.id = y.id AND x.ancestor = y.ancestor GROUP BY 1) USING (id)""")
 def profile_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    b, closed, _, pred, gold = _paper_pairs(spark, d)
-    return metrics.closure_jaccard(pred, gold, closed, ["id"]).select("id", F.round("jaccard", 6).alias("jaccard"))
+    b, closed, _, pred, gold, cases = _paper_pairs(spark, d)
+    return metrics.closure_jaccard(pred, gold, closed, ["id"], cases).select("id", F.round("jaccard", 6).alias("jaccard"))
 
 
 CUBE_SQL = """, rt AS (SELECT *, CASE WHEN n = 1 THEN 'single' ELSE 'paper' END AS track, CASE WHEN (('0x' || substr(sha256('weave:' || pmid), 1, 8))::BIGINT % 10000) / 10000.0 < 0.5 THEN 'dev' ELSE 'test' END AS split
@@ -202,7 +220,7 @@ SELECT field, track, split, n, round(p, 5) AS precision, round(rr, 5) AS recall,
 @query(FULL + "," + FIRST_SQL + "," + GRADED_SQL + CUBE_SQL)
 def metric_cube(spark: SparkSession, d: str) -> DataFrame:
     b, _, _, _, g = _graded(spark, d)
-    cur = b.current()
+    cur = b.current("source")
     tracks = records.track(cur).select("pmid", "track")
     where = cur.select("id", F.col("source.pmid").alias("pmid")).filter("pmid IS NOT NULL").join(tracks, "pmid").withColumn("split", tx.split_of(F.col("pmid"), "weave:"))
     out = metrics.summarise(g.join(where, "id").withColumn("field", F.lit("observed_graded")), ["track", "split"])
@@ -235,7 +253,7 @@ def _case_scores(spark: SparkSession, d: str) -> DataFrame:
             out = one if out is None else out.unionByName(one)
         return out
 
-    exact = metrics.exact(values(first), values(b.current()), ["id", "field"])
+    exact = metrics.exact(values(first), values(b.current("phenotypes", "diagnoses", "variants")), ["id", "field"])
     scores = exact.unionByName(g.withColumn("field", F.lit("observed_graded")))
     every = first.select("id", F.explode(F.array(*map(F.lit, FIELDS))).alias("field"))
     return every.join(scores, ["id", "field"], "left").select("id", "field", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in metrics.PARTS])
@@ -248,8 +266,8 @@ def case_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def field_cube(spark: SparkSession, d: str) -> DataFrame:
-    """``metric_cube`` over all fields and cases of ``case_scores``; ``metric_cube`` itself leaves out cases without findings on either side."""
-    cur = Base(spark, d).current()
+    """``metric_cube`` over all fields and cases of ``case_scores``."""
+    cur = Base(spark, d).current("source")
     where = cur.select("id", F.col("source.pmid").alias("pmid")).filter("pmid IS NOT NULL").join(records.track(cur).select("pmid", "track"), "pmid").withColumn("split", tx.split_of(F.col("pmid"), "weave:"))
     out = metrics.summarise(_case_scores(spark, d).join(where, "id"), ["track", "split"])
     return out.select("field", "track", "split", "n", *[F.round(c, 5).alias(c) for c in ("precision", "recall", "micro_f1", "macro_f1")])
@@ -269,20 +287,18 @@ m AS (SELECT query, profile, a, b, ic FROM qq JOIN met USING (a) JOIN pp USING (
 rev AS (SELECT query, profile, sum(x) AS rev FROM (SELECT query, profile, b, max(ic) AS x FROM m GROUP BY 1, 2, 3) GROUP BY 1, 2),
 fwd AS (SELECT query, profile, sum(x) AS fwd FROM (SELECT query, profile, a, max(ic) AS x FROM m GROUP BY 1, 2, 3) GROUP BY 1, 2),
 np AS (SELECT profile, count(*) AS n_terms FROM pp GROUP BY 1), nq AS (SELECT query, count(*) AS nq FROM qq GROUP BY 1),
-sc AS (SELECT query, profile, round((fwd / nq + rev / n_terms) / 2, 5) AS score, n_terms FROM rev JOIN fwd USING (query, profile) JOIN np USING (profile) JOIN nq USING (query)),
-top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, profile) AS rank FROM sc QUALIFY rank <= 20)"""
+sc AS (SELECT query, profile, (fwd / nq + rev / n_terms) / 2 AS raw, n_terms FROM rev JOIN fwd USING (query, profile) JOIN np USING (profile) JOIN nq USING (query)),
+top AS (SELECT query, profile, round(raw, 5) AS score, n_terms, row_number() OVER (PARTITION BY query ORDER BY round(raw, 9) DESC, profile) AS rank FROM sc QUALIFY rank <= 20)"""
 
 
 def _ranked(spark: SparkSession, d: str):  # noqa: ANN202
     b = Base(spark, d)
     closed = b.closure()
     ic = b.ic(closed)
-    cur = b.current()
-    profiles = b.live(records.observed_terms(cur)).select(F.col("id").alias("profile"), "term")
+    profiles = b.live(b.observed()).select(F.col("id").alias("profile"), "term")
     asked = table(spark, d, "case_hits").filter("hit_id % 50 = 0").select(F.col("query_case_id").alias("query")).distinct()
-    queries = profiles.withColumnRenamed("profile", "query").join(asked, "query", "left_semi")
-    pairs = cut(dag.pair_ic(queries, profiles, closed, ic, positive=True, with_mica=False))
-    return b, cur, queries, profiles, pairs, cut(rank.top(rank.best_match(queries, profiles, pairs), 20, 5))
+    queries = cut(profiles.withColumnRenamed("profile", "query").join(asked, "query", "left_semi"))
+    return b, closed, ic, queries, profiles, cut(rank.search(queries, profiles, closed, ic, 20, places=5))
 
 
 @query(FULL + "," + RANK_SQL + " SELECT query, profile, score, n_terms, rank FROM top")
@@ -292,30 +308,30 @@ def similar_cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(FULL + "," + RANK_SQL + """, best AS (SELECT query, b, max(ic) AS ic FROM qq JOIN met USING (a) GROUP BY 1, 2 HAVING max(ic) >= 1.5)
-SELECT query, profile, b AS term, round(ic, 5) AS ic, row_number() OVER (PARTITION BY query, profile ORDER BY ic DESC, b) AS place FROM top JOIN pp USING (profile) JOIN best USING (query, b) QUALIFY place <= 12""")
+SELECT query, profile, b AS term, round(ic, 5) AS ic, row_number() OVER (PARTITION BY query, profile ORDER BY round(ic, 9) DESC, b) AS place FROM top JOIN pp USING (profile) JOIN best USING (query, b) QUALIFY place <= 12""")
 def shared_findings(spark: SparkSession, d: str) -> DataFrame:
-    _, _, queries, profiles, pairs, hits = _ranked(spark, d)
-    return rank.explain(hits, queries, profiles, pairs).withColumn("ic", F.round("ic", 5))
+    _, closed, ic, queries, profiles, hits = _ranked(spark, d)
+    return rank.explain(hits, queries, profiles, closed, ic).withColumn("ic", F.round("ic", 5))
 
 
 @query(FULL + "," + RANK_SQL + """, lab AS (SELECT DISTINCT id AS profile, disease AS label FROM dx WHERE disease IS NOT NULL)
-SELECT query, label, count(*) AS n_profiles, round(sum(score), 3) AS score FROM top JOIN lab USING (profile) GROUP BY 1, 2""")
+SELECT query, label, count(*) AS n_profiles, round(sum(score), 3) AS score, array_to_string(list_sort(list(profile)), ' ') AS profiles FROM top JOIN lab USING (profile) GROUP BY 1, 2""")
 def disease_tally(spark: SparkSession, d: str) -> DataFrame:
-    _, cur, _, _, _, hits = _ranked(spark, d)
-    return rank.tally(hits, records.diagnosis_ids(cur).select(F.col("id").alias("profile"), F.explode("diseases").alias("label")))
+    b, *_, hits = _ranked(spark, d)
+    labels = records.diagnosis_ids(b.current("diagnoses")).select(F.col("id").alias("profile"), F.explode("diseases").alias("label"))
+    return rank.tally(hits, labels).withColumn("profiles", F.array_join("profiles", " "))
 
 
 def _disease_ranked(spark: SparkSession, d: str):  # noqa: ANN202
     b = Base(spark, d)
     closed = b.closure()
     ic = b.ic(closed)
-    cur = b.current()
+    cur = b.current("phenotypes", "diagnoses")
     asked = table(spark, d, "case_hits").filter("hit_id % 50 = 0").select(F.col("query_case_id").alias("id")).distinct()
     queries = cut(b.live(records.observed_terms(cur)).join(asked, "id", "left_semi").select(F.col("id").alias("query"), "term"))
     prof = qa.profile(b.annotations(), "phenotypes")
     profiles = cut(qa.live(prof, "term", b.alias).select(F.col("disease").alias("profile"), "term"))
-    pairs = cut(dag.pair_ic(queries, profiles, closed, ic, positive=True, with_mica=False))
-    top = cut(rank.top(rank.best_match(queries, profiles, pairs, min_terms=2), 100, 5))
+    top = cut(rank.search(queries, profiles, closed, ic, 100, min_terms=2, places=5))
     gold = records.diagnosis_ids(cur.join(asked, "id", "left_semi")).select(F.col("id").alias("query"), F.explode("diseases").alias("item"))
     return top, gold
 
@@ -333,12 +349,14 @@ def disease_rank(spark: SparkSession, d: str) -> DataFrame:
 @query(FULL + "," + DISEASE_SQL + """, gold AS (SELECT DISTINCT id AS query, disease AS item FROM dx WHERE disease IS NOT NULL AND id IN (SELECT query_case_id FROM case_hits WHERE hit_id % 50 = 0)),
 fr AS (SELECT g.query, min(top.rank) AS rank FROM gold g LEFT JOIN top ON top.query = g.query AND top.profile = g.item GROUP BY 1),
 j AS (SELECT fr.*, fr.query IN (SELECT query FROM top) AS a FROM fr)
-SELECT count(*) AS n_queries, count(*) FILTER (a) AS n_answered, round(count(*) FILTER (rank <= 1) / count(*)::DOUBLE, 6) AS hit_1_all, round(count(*) FILTER (rank <= 10) / count(*)::DOUBLE, 6) AS hit_10_all, round(coalesce(sum(1.0 / rank), 0) / count(*), 6) AS mrr_all FROM j""")
+SELECT count(*) AS n_queries, count(*) FILTER (a) AS n_answered, round(count(*) FILTER (a) / count(*)::DOUBLE, 6) AS coverage, {ks},
+  round(coalesce(sum(1.0 / rank), 0) / greatest(count(*) FILTER (a), 1), 6) AS mrr, round(coalesce(sum(1.0 / rank), 0) / count(*), 6) AS mrr_all FROM j""".replace("{ks}", ", ".join(
+    f"round(count(*) FILTER (rank <= {k}) / greatest(count(*) FILTER (a), 1)::DOUBLE, 6) AS hit_{k}, round(count(*) FILTER (rank <= {k}) / count(*)::DOUBLE, 6) AS hit_{k}_all" for k in metrics.KS)))
 def hit_at_k(spark: SparkSession, d: str) -> DataFrame:
     top, gold = _disease_ranked(spark, d)
     ranked = top.select("query", F.col("profile").alias("item"), "rank")
     out = metrics.hit_at_k(metrics.first_hit(ranked, gold), ranked)
-    return out.select("n_queries", "n_answered", *[F.round(c, 6).alias(c) for c in ("hit_1_all", "hit_10_all", "mrr_all")])
+    return out.select("n_queries", "n_answered", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("n_queries", "n_answered")])
 
 
 # annotation profiles
@@ -359,7 +377,7 @@ def sex_constraint(spark: SparkSession, d: str) -> DataFrame:
 
 # consistency rules
 DAYS_SQL = "(coalesce(try_cast(regexp_extract({c}, '^P([0-9]+)Y', 1) AS DOUBLE), 0) * 365.25 + coalesce(try_cast(regexp_extract({c}, '^P(?:[0-9]+Y)?([0-9]+)M', 1) AS DOUBLE), 0) * 30.44 + coalesce(try_cast(regexp_extract({c}, '^P(?:[0-9]+Y)?(?:[0-9]+M)?([0-9]+)W', 1) AS DOUBLE), 0) * 7 + coalesce(try_cast(regexp_extract({c}, '^P(?:[0-9]+Y)?(?:[0-9]+M)?(?:[0-9]+W)?([0-9]+)D', 1) AS DOUBLE), 0))"
-ISO_SQL = "(CASE WHEN {c} = 'P0D' THEN 0 WHEN " + DAYS_SQL + " > 0 THEN " + DAYS_SQL + " END)"
+ISO_SQL = "(CASE WHEN trim({c}) = 'P0D' THEN 0 WHEN NOT regexp_full_match(trim({c}), 'P([0-9]+Y)?([0-9]+M)?([0-9]+W)?([0-9]+D)?') THEN NULL WHEN " + DAYS_SQL.replace("{c}", "trim({c})") + " > 0 THEN " + DAYS_SQL.replace("{c}", "trim({c})") + " END)"
 VIOLATIONS_SQL = f"""known AS (SELECT DISTINCT dx.disease, gx.gene FROM dx JOIN gx USING (id) JOIN (SELECT id FROM cur WHERE subject.sex = 'FEMALE') USING (id) WHERE gene IS NOT NULL AND disease IS NOT NULL),
 obl AS (SELECT DISTINCT disease, alias.dst AS term FROM ann JOIN alias ON alias.src = ann.term WHERE NOT negated AND frequency IN ('HP:0040280', '1/1', '100%')),
 v AS (
@@ -377,7 +395,7 @@ v AS (
 def _violations(spark: SparkSession, d: str):  # noqa: ANN202
     b = Base(spark, d)
     closed = b.closure()
-    cur = b.current()
+    cur = b.current("subject", "phenotypes", "diagnoses", "variants", "confidence", "qa_flags")
     seen, out = b.live(records.observed_terms(cur)), b.live(records.excluded_terms(cur))
     every = records.assertions(cur).filter("about IS NOT NULL")
     raw = every.filter("kind = 'phenotype'").select("id", F.col("about").alias("term"))
@@ -429,27 +447,27 @@ def consensus_votes(spark: SparkSession, d: str) -> DataFrame:
 # records
 @query(FULL + """ SELECT id, 'phenotype' AS kind, term AS about, excluded FROM ph UNION ALL SELECT id, 'diagnosis', disease, false FROM dx UNION ALL SELECT id, 'variant', gene, false FROM gx""")
 def assertions(spark: SparkSession, d: str) -> DataFrame:
-    return records.assertions(Base(spark, d).current()).select("id", "kind", "about", "excluded")
+    return records.assertions(Base(spark, d).current("phenotypes", "diagnoses", "variants")).select("id", "kind", "about", "excluded")
 
 
 @query(FULL + """, b AS (SELECT id, len([p FOR p IN phenotypes IF coalesce(len(p.evidence), 0) = 0]) AS np, len([p FOR p IN diagnoses IF coalesce(len(p.evidence), 0) = 0]) AS nd, len([p FOR p IN variants IF coalesce(len(p.evidence), 0) = 0]) AS nv,
   len(phenotypes) AS lp FROM cur) SELECT id, coalesce(np, 0) + coalesce(nd, 0) + coalesce(nv, 0) AS n_dropped, coalesce(lp - np, 0) AS n_kept FROM b""")
 def enforce_provenance(spark: SparkSession, d: str) -> DataFrame:
-    out = records.enforce_provenance(Base(spark, d).current())
+    out = records.enforce_provenance(Base(spark, d).current("phenotypes", "diagnoses", "variants"))
     return out.select("id", F.col("n_dropped").cast("long").alias("n_dropped"), F.greatest(F.coalesce(F.size("phenotypes"), F.lit(0)), F.lit(0)).cast("long").alias("n_kept"))
 
 
 @query(FULL + """, al AS (SELECT id, 'phenotype' AS kind, term AS about, excluded FROM ph UNION ALL SELECT id, 'diagnosis', disease, false FROM dx UNION ALL SELECT id, 'variant', gene, false FROM gx)
 SELECT cur.source.pmid AS pmid, kind, about, excluded, min(al.id) AS first_id FROM al JOIN cur ON cur.id = al.id WHERE about IS NOT NULL AND cur.source.pmid IS NOT NULL GROUP BY 1, 2, 3, 4""")
 def union_by_paper(spark: SparkSession, d: str) -> DataFrame:
-    return records.union_by_paper(Base(spark, d).current())
+    return records.union_by_paper(Base(spark, d).current("source", "phenotypes", "diagnoses", "variants"))
 
 
 @query(FULL + """, s AS (SELECT id, count(DISTINCT term) AS n FROM ph WHERE NOT excluded AND term IS NOT NULL GROUP BY 1), x AS (SELECT id, count(DISTINCT term) AS n FROM ph WHERE excluded AND term IS NOT NULL GROUP BY 1)
 SELECT cur.id, coalesce(s.n, 0) AS n_observed, coalesce(x.n, 0) AS n_excluded, coalesce(len(diagnoses), 0) AS n_diagnoses, coalesce(len(variants), 0) AS n_variants,
  coalesce('PMID:' || nullif(trim(source.pmid), ''), 'PMCID:' || nullif(trim(source.pmcid), ''), 'DOI:' || nullif(trim(source.doi), ''), 'UNKNOWN:0') AS source FROM cur LEFT JOIN s USING (id) LEFT JOIN x USING (id)""")
 def case_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = records.summary(Base(spark, d).current())
+    s = records.summary(Base(spark, d).current("source", "phenotypes", "diagnoses", "variants"))
     return s.select("id", *[F.col(c).cast("long").alias(c) for c in ("n_observed", "n_excluded", "n_diagnoses", "n_variants")], "source")
 
 
@@ -488,7 +506,7 @@ def reject_cascade(spark: SparkSession, d: str) -> DataFrame:
 def facet_intersection(spark: SparkSession, d: str) -> DataFrame:
     b = Base(spark, d)
     closed = b.closure()
-    posts = search.postings(b.current())
+    posts = search.postings(b.current("phenotypes", "diagnoses", "variants"))
     start = dag.edges(b.rows).filter(F.col("parent") != ROOT).agg(F.min("parent").alias("value"))
     genes = posts.filter("kind = 'variant'").select("value")
     return search.facets(posts, {"phenotype": search.with_descendants(start, closed), "variant": genes})
@@ -497,12 +515,12 @@ def facet_intersection(spark: SparkSession, d: str) -> DataFrame:
 @query(FULL + f""", p AS (SELECT DISTINCT id, {clean('p.term.id')} AS value, p.term.label AS label FROM (SELECT id, unnest(phenotypes) AS p FROM cur) WHERE NOT coalesce(p.excluded, false) AND {clean('p.term.id')} IS NOT NULL)
 SELECT value, min(label) AS label, count(DISTINCT id) AS n_records FROM p WHERE lower(label) LIKE '%swell%' GROUP BY 1 ORDER BY n_records DESC, label, value LIMIT 20""")
 def suggest_terms(spark: SparkSession, d: str) -> DataFrame:
-    return search.suggestions(search.postings(Base(spark, d).current()), "swell")
+    return search.suggestions(search.postings(Base(spark, d).current("phenotypes", "diagnoses", "variants")), "swell")
 
 
 @query(FULL + """, p AS (SELECT id, 'phenotype' AS kind, term AS value FROM ph WHERE NOT excluded UNION SELECT id, 'diagnosis', disease FROM dx UNION SELECT id, 'variant', gene FROM gx) SELECT kind, count(DISTINCT value) AS n_values, count(DISTINCT id) AS n_records FROM p WHERE value IS NOT NULL GROUP BY 1""")
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    return search.statistics(search.postings(Base(spark, d).current()))
+    return search.statistics(search.postings(Base(spark, d).current("phenotypes", "diagnoses", "variants")))
 
 
 # text
@@ -532,7 +550,7 @@ def variant_mentions(spark: SparkSession, d: str) -> DataFrame:
 m AS (SELECT doc_id, unnest(regexp_extract_all(WORDY_, '\\b[A-Z][A-Z0-9]{1,9}(?:-[A-Z0-9]{1,4})?\\b')) AS symbol FROM documents)
 SELECT doc_id, symbol, gene, count(*) AS n FROM m JOIN (SELECT symbol, min(gene) AS gene FROM g WHERE gene IS NOT NULL GROUP BY 1) USING (symbol) GROUP BY 1, 2, 3""").replace("WORDY_", WORDY))
 def gene_mentions(spark: SparkSession, d: str) -> DataFrame:
-    v = Base(spark, d).current().select(F.explode("variants").alias("v")).select(F.col("v.gene.label").alias("symbol"), clean_id(F.col("v.gene.id")).alias("gene"))
+    v = Base(spark, d).current("variants").select(F.explode("variants").alias("v")).select(F.col("v.gene.label").alias("symbol"), clean_id(F.col("v.gene.id")).alias("gene"))
     symbols = v.filter("symbol IS NOT NULL AND gene IS NOT NULL").groupBy("symbol").agg(F.min("gene").alias("gene"))
     return grounding.gene_mentions(table(spark, d, "documents"), symbols)
 
@@ -572,7 +590,7 @@ def extract_records(spark: SparkSession, d: str) -> DataFrame:
     labels = dag.label_index(b.terms)
     finding_words = grounding.dictionary(labels.filter(F.col("term").startswith("HP:")))
     illness = grounding.dictionary(labels.filter(F.col("term").startswith("MONDO:")))
-    v = b.current().select(F.explode("variants").alias("v")).select(F.col("v.gene.label").alias("symbol"), clean_id(F.col("v.gene.id")).alias("gene"))
+    v = b.current("variants").select(F.explode("variants").alias("v")).select(F.col("v.gene.label").alias("symbol"), clean_id(F.col("v.gene.id")).alias("gene"))
     symbols = v.filter("symbol IS NOT NULL AND gene IS NOT NULL").groupBy("symbol").agg(F.min("gene").alias("gene"))
     r = extract.dictionary_records(_whole_texts(spark, d), finding_words, illness, symbols, b.closure())
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).alias(f"n_{c}")

@@ -26,8 +26,8 @@ def query(sql: str | None = None) -> Callable[[Callable[[SparkSession, str], Dat
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160)"
 _ORPHANS = """WITH RECURSIVE t AS (
-  SELECT upper(trim(term_id, {b})) AS id, bool_and(coalesce(obsolete, false)) AS obsolete, max(nullif(upper(trim(replaced_by, {b})), '')) AS nxt, min(added_at) AS added_at
-  FROM terms GROUP BY 1),
+  SELECT id, coalesce(obsolete, false) AS obsolete, nxt, added_at FROM (SELECT upper(trim(term_id, {b})) AS id, obsolete, nullif(upper(trim(replaced_by, {b})), '') AS nxt, added_at,
+    row_number() OVER (PARTITION BY upper(trim(term_id, {b})) ORDER BY modified_at DESC NULLS LAST) AS rn FROM terms) WHERE rn = 1),
 alts AS (SELECT upper(trim(a, {b})) AS k, min(upper(trim(term_id, {b}))) AS id FROM (SELECT term_id, unnest(alt_ids) AS a FROM terms) GROUP BY 1),
 keys AS (SELECT id AS k, id FROM t UNION ALL SELECT k, id FROM alts WHERE k NOT IN (SELECT id FROM t)),
 way AS (
@@ -35,6 +35,7 @@ way AS (
   UNION ALL
   SELECT way.k, t.id, t.obsolete, t.nxt, t.added_at, hop + 1 FROM way JOIN keys ON keys.k = way.nxt JOIN t ON t.id = keys.id WHERE way.obsolete AND hop < 100),
 live AS (SELECT k, added_at FROM way WHERE NOT obsolete),
+lost AS (SELECT DISTINCT k FROM way WHERE obsolete AND nxt IS NOT NULL AND nxt NOT IN (SELECT k FROM keys)),
 cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST) rn FROM case_records WHERE id IS NOT NULL) WHERE rn = 1),
 refs AS (
   SELECT 'case_records' AS ref_table, id AS row_key, p.term.id AS r, ingested_at AS tm FROM (SELECT id, ingested_at, unnest(phenotypes) AS p FROM cur)
@@ -44,7 +45,8 @@ refs AS (
   UNION ALL SELECT 'terms', trim(term_id, {b}), replaced_by, modified_at FROM terms),
 clean AS (SELECT ref_table, row_key, upper(trim(r, {b})) AS ref_id, tm FROM refs WHERE trim(coalesce(r, ''), {b}) <> ''),
 found AS (
-  SELECT DISTINCT ref_table, row_key, ref_id, strftime(tm, '%Y-%m') AS ref_month FROM clean LEFT JOIN live ON live.k = ref_id
+  SELECT DISTINCT ref_table, row_key, ref_id, strftime(tm, '%Y-%m') AS ref_month,
+    CASE WHEN live.k IS NOT NULL THEN 'late' WHEN ref_id NOT IN (SELECT k FROM keys) OR ref_id IN (SELECT k FROM lost) THEN 'missing' ELSE 'deleted' END AS reason FROM clean LEFT JOIN live ON live.k = ref_id
   WHERE live.k IS NULL OR live.added_at > tm)
 """.format(b=BLANKS)
 
@@ -53,15 +55,14 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphans(table(spark, d, "case_records"), table(spark, d, "disease_annotations"), table(spark, d, "terms"))
 
 
-@query(_ORPHANS + "SELECT * FROM found")
+@query(_ORPHANS + "SELECT DISTINCT ref_table, row_key, ref_id, ref_month FROM found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).select("ref_table", "row_key", "ref_id", "ref_month").distinct()
 
 
-@query(_ORPHANS + "SELECT ref_table, ref_month, count(*) AS n_references, count(DISTINCT row_key) AS n_rows FROM found GROUP BY 1, 2")
+@query(_ORPHANS + "SELECT ref_table, ref_month, reason, count(*) AS n_references, count(DISTINCT row_key) AS n_rows FROM found GROUP BY 1, 2, 3")
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    found = _orphans(spark, d).select("ref_table", "row_key", "ref_id", "ref_month").distinct()
-    return found.groupBy("ref_table", "ref_month").agg(F.count(F.lit(1)).alias("n_references"), F.countDistinct("row_key").alias("n_rows"))
+    return orphans.orphan_report(_orphans(spark, d))
 
 
 def _linked(spark: SparkSession, d: str) -> DataFrame:

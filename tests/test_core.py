@@ -111,10 +111,9 @@ def test_hits(spark):
 def test_ranking(spark, base, ic):
     q = spark.createDataFrame([("q", "T:4")], "query string, term string")
     p = spark.createDataFrame([("a", "T:4"), ("b", "T:3"), ("b", "T:2"), ("c", "M:1")], "profile string, term string")
-    pairs = dag.pair_ic(q.select("term"), p.select("term"), base[2], ic)
-    top = rank.top(rank.best_match(q, p, pairs), 5)
+    top = rank.search(q, p, base[2], ic, 5)
     assert [r["profile"] for r in top.orderBy("rank").collect()] == ["a", "b"]
-    assert rows(rank.explain(top, q, p, pairs, min_ic=1.0).select("profile", "term")) == [("a", "T:4")]
+    assert rows(rank.explain(top, q, p, base[2], ic, min_ic=1.0).select("profile", "term")) == [("a", "T:4")]
     assert rows(rank.tally(top, spark.createDataFrame([("a", "M:1"), ("b", None)], "profile string, label string")).select("label", "n_profiles")) == [("M:1", 1)]
 
 
@@ -130,6 +129,40 @@ def test_negation(spark, text, phrase, cue):
     assert df.select(tx.negation_cue(F.col("t"), F.col("s"), F.col("e"))).first()[0] == cue
 
 
+def test_ranking_against_brute_force(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    up = {f"t{i}": {f"t{i}"} for i in range(30)}
+    for i in range(1, 30):
+        for p in {rng.randrange(i) for _ in range(2)}:
+            up[f"t{i}"] |= up[f"t{p}"]
+    ic = {t: 0.0 if t == "t0" else round(rng.random() * 5, 3) for t in up}
+    sets = {f"p{i}": set(rng.sample(sorted(up), rng.randrange(1, 6))) for i in range(60)} | {"p90": {"unknown"}, "p91": {"t0"}, "p92": {"t3", "unknown"}}
+    frame = lambda d, name: spark.createDataFrame([(k, t) for k, v in d.items() for t in v], f"{name} string, term string")
+    asked = {k: v for k, v in sets.items() if k in ("p1", "p2", "p3", "p92", "p90")}
+    best = lambda a, b: max((ic[x] for x in up.get(a, set()) & up.get(b, set())), default=0.0)
+    score = lambda q, p: (sum(max(best(a, b) for b in p) for a in q) / len(q) + sum(max(best(a, b) for a in q) for b in p) / len(p)) / 2
+    want = {q: sorted(((-round(s, 9), p) for p, v in sets.items() if (s := score(sets[q], v)) > 0))[:7] for q in asked}
+    closed, worth = spark.createDataFrame([(t, a) for t, v in up.items() for a in v], "term string, ancestor string"), spark.createDataFrame(list(ic.items()), "term string, ic double")
+    for block in (2000, 2):
+        monkeypatch.setattr(rank, "BLOCK", block)
+        got = rank.search(frame(asked, "query"), frame(sets, "profile").repartition(3), closed, worth, 7).collect()
+        assert {q: [(-round(r["score"], 9), r["profile"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query"] == q] for q in asked} == want
+    assert rank.search(frame(asked, "query").filter("false"), frame(sets, "profile"), closed, worth, 7).count() == 0
+
+
+def test_cases_without_terms(spark):
+    p, g = spark.createDataFrame([("a", "x")], "id string, value string"), spark.createDataFrame([("a", "x")], "id string, value string")
+    cases = spark.createDataFrame([("a",), ("b",), ("b",)], "id string")
+    assert {r["id"]: (r["tp"], r["fp"]) for r in metrics.exact(p, g, ["id"], cases).collect()} == {"a": (1, 0), "b": (0, 0)}
+    t = lambda f: f.withColumnRenamed("value", "term")
+    closed = spark.createDataFrame([("x", "x")], "term string, ancestor string")
+    assert rows(metrics.closure_jaccard(t(p), t(g), closed, ["id"], cases)) == [("a", 1.0), ("b", 1.0)]
+    sim = spark.createDataFrame([("x", "x", 1.0)], "a string, b string, lin double")
+    assert metrics.summarise(metrics.graded(t(p), t(g), sim, ["id"], cases=cases).withColumn("field", F.lit("f")), []).first()["macro_f1"] == 0.5
+
+
 def test_grounding(spark, terms):
     words = grounding.dictionary(dag.label_index(terms), dag.label_index(terms, ("RELATED",), names=False))
     docs = spark.createDataFrame([(1, "Focal seizures, convulsion; no fit of the brain."), (2, None), (3, "")], "doc_id int, text string")
@@ -141,6 +174,46 @@ def test_grounding(spark, terms):
     assert all(text[r["start_char"] : r["end_char"]] == r["phrase"] for r in one.collect())
 
 
+def test_grounding_by_join_is_the_same(spark, monkeypatch):
+    words = spark.createDataFrame([("seizure", "T:1"), ("seizures", "T:2"), ("focal seizure", "T:3"), ("ataxia of gait", "T:4"), ("gait", "T:5")], "phrase string, term string")
+    texts = ["Seizures and a seizure, focal  seizures.", "No ataxia of gait; gait ataxia of gaits.", None, "", "seizuress", "Focal seizure. Focal seizure."]
+    docs = spark.createDataFrame([(i % 5, t, i if i % 2 else None) for i, t in enumerate([*texts, *texts[:2]])], "doc_id int, text string, other int")
+    for keep in (("doc_id",), ("doc_id", "other")):
+        one, two = grounding.ground(docs, words, keep=keep), grounding.ground_by_join(docs, words, keep=keep)
+        assert rows(one) == rows(two) and one.count() > 8
+    got = [(r["phrase"], r["term"], r["negation_cue"]) for r in grounding.ground(docs.limit(1), words).collect()]
+    assert got == [("Seizures", "T:2", None), ("seizure", "T:1", None), ("focal  seizures", "T:3", None)]
+    many = grounding.ground_many(docs, {"a": words, "b": words.filter("term = 'T:5'")})
+    monkeypatch.setattr(grounding, "MAX_DICTIONARY", 3)
+    assert rows(grounding.ground_many(docs, {"a": words, "b": words.filter("term = 'T:5'")})) == rows(many)
+
+
+def test_restricted_dictionary(spark):
+    strict = spark.createDataFrame([("bilateral", "N:1"), ("big spleen", "H:1")], "phrase string, term string")
+    loose = spark.createDataFrame([("large spleen", "H:1"), ("bilateral", "H:2"), ("spleno", "H:1")], "phrase string, term string")
+    allowed = spark.createDataFrame([("H:1",), ("H:2",)], "term string")
+    assert rows(grounding.dictionary(strict, loose, allowed)) == [("big spleen", "H:1"), ("large spleen", "H:1")]
+
+
+@pytest.mark.parametrize("text", ["x " * 40 + "no sign of fits. Seizure", "not seen although there was Seizure", "Seizure was absent", "Seizure but not seen", "denied any Seizure", "knots of Seizure was ok; ruled out", "İİ no Seizure"])
+def test_cue_in_both_ways(spark, text):
+    at = text.index("Seizure")
+    df = spark.createDataFrame([(text, at, at + 7)], "t string, s int, e int")
+    assert df.select(tx.negation_cue(F.col("t"), F.col("s"), F.col("e"))).first()[0] == tx.cue_near(text, at, at + 7)
+
+
+@pytest.mark.parametrize("text,days", [("P5Yoops", None), ("P1YT3H", None), (" P5Y ", 1826.25), ("P32W", 224.0), ("garbage", None), ("P0D", 0.0), ("P0Y", None), ("P", None), ("P1M1Y", None), ("P1Y1Y", None), (None, None)])
+def test_durations_are_whole(spark, text, days):
+    assert spark.createDataFrame([(text,)], "t string").select(iso_days(F.col("t"))).first()[0] == days
+
+
+def test_latest_row_of_a_term(spark):
+    t = spark.createDataFrame([("T:1", ["T:0"], True, T(2020, 1, 1)), ("t:1 ", ["T:2"], None, T(2021, 1, 1))], "term_id string, parents array<string>, obsolete boolean, modified_at timestamp").selectExpr(
+        "*", "array() AS alt_ids", "string(null) AS replaced_by", "string(null) AS term_name"
+    )
+    assert rows(dag.term_rows(t).select("id", "obsolete", "parents")) == [("T:1", False, ["T:2"])]
+
+
 def test_patterns(spark):
     df = spark.createDataFrame([(1, "NM_138961.3:c.35T>A (p.Leu12Ter) in STXBP1 and LCA")], "doc_id int, text string")
     assert {r["kind"] for r in grounding.variant_mentions(df).collect()} == {"hgvs.c", "hgvs.p"}
