@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseweave.functions import text as tx
 from caseweave.functions.durations import iso_days
 from caseweave.functions.ids import clean_id, trimmed
-from caseweave.operators import dag, extract, grounding, metrics, qa, rank, records, search
+from caseweave.operators import dag, extract, grounding, metrics, qa, quotes, rank, records, search
 from caseweave.plans.queries import BLANKS, query
 from caseweave.session import cut, release, table
 
@@ -555,19 +555,25 @@ def gene_mentions(spark: SparkSession, d: str) -> DataFrame:
     return grounding.gene_mentions(table(spark, d, "documents"), symbols)
 
 
-@query(FULL + """, e AS (SELECT DISTINCT cur.source.pmid AS pmid, ev.quote AS quote FROM (SELECT id, unnest(phenotypes) AS p FROM cur) x JOIN cur USING (id), unnest(x.p.evidence) AS u(ev) WHERE ev.quote IS NOT NULL AND trim(ev.quote) <> '')
-SELECT doc_id, quote, instr(text, trim(quote)) - 1 AS at FROM e JOIN (SELECT DISTINCT doc_id, pmid, text FROM documents) d USING (pmid) WHERE instr(text, trim(quote)) > 0""")
+@query(FULL + """, ev AS (SELECT DISTINCT pmid, e.quote AS quote FROM (
+  SELECT pmid, unnest(p.evidence) AS e FROM (SELECT source.pmid AS pmid, unnest(phenotypes) AS p FROM cur) UNION ALL SELECT pmid, unnest(p.evidence) FROM (SELECT source.pmid AS pmid, unnest(diagnoses) AS p FROM cur)
+  UNION ALL SELECT pmid, unnest(p.evidence) FROM (SELECT source.pmid AS pmid, unnest(variants) AS p FROM cur)) WHERE pmid IS NOT NULL),
+q AS (SELECT pmid, quote, regexp_replace(quote, '^\\s+|\\s+$', '', 'g') AS q FROM ev), s AS (SELECT pmid, quote, q, regexp_replace(q, '\\s+', ' ', 'g') AS s FROM q WHERE q <> ''),
+m AS (SELECT doc_id, quote, instr(text, q) AS a, instr(text, s) AS b FROM s JOIN (SELECT DISTINCT doc_id, pmid, text FROM documents) USING (pmid) WHERE contains(text, q) OR contains(text, s))
+SELECT DISTINCT doc_id, quote, CASE WHEN a > 0 THEN a ELSE b END - 1 AS at FROM m""")
 def quote_locate(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence quotes of findings, diagnoses and variants in the texts of their paper; see ``locate`` for what counts as found."""
-    cur = Base(spark, d).current()
-    quotes = None
-    for name, _ in records.LISTS:
-        one = cur.select(F.col("source.pmid").alias("pmid"), F.explode(f"{name}.evidence").alias("e")).select("pmid", F.explode("e.quote").alias("quote"))
-        quotes = one if quotes is None else quotes.unionByName(one)
-    docs = table(spark, d, "documents").select("doc_id", "pmid", "text").distinct()
-    quotes = quotes.filter(F.trim("quote") != "").distinct().withColumn("q", F.regexp_replace("quote", r"^\s+|\s+$", "")).withColumn("s", tx.squeezed(F.col("q")))
-    j = docs.join(quotes, "pmid")
-    return j.select("doc_id", "quote", tx.locate_either(F.col("text"), F.col("q"), F.col("s")).cast("long").alias("at")).filter("at >= 0")
+    """Evidence quotes of findings, diagnoses and variants in the texts of their paper."""
+    return quotes.locate_quotes(_paper_texts(spark, d), _evidence_quotes(Base(spark, d).current("source", "phenotypes", "diagnoses", "variants")))
+
+
+def _paper_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.col("pmid").alias("key"), "text")
+
+
+def _evidence_quotes(cur: DataFrame) -> DataFrame:
+    """(key, quote): quotes of all evidence with the number of the paper."""
+    evidence = F.concat(*[F.coalesce(F.flatten(F.transform(name, lambda x: F.coalesce(F.transform(x["evidence"], lambda e: e["quote"]), F.array().cast("array<string>")))), F.array().cast("array<string>")) for name, _ in records.LISTS])
+    return cur.select(F.col("source.pmid").alias("key"), F.explode(evidence).alias("quote")).filter("quote IS NOT NULL")
 
 
 @query(f"SELECT id, round({ISO_SQL.format(c='d')}, 4) AS days FROM (SELECT DISTINCT id, subject.age_at_last_encounter.iso8601duration AS d FROM case_records) WHERE d IS NOT NULL")
