@@ -1,11 +1,12 @@
 """Where quotes stand in the texts of their paper.
 
 A paper may hold any part of all texts and of all quotes, so its texts are not searched for each of its quotes. Of every
-quote one anchor is taken, the least hash of its first runs of ``GRAM`` code points, and of every text all hashes that
-are least among ``SPAN`` neighbours: a quote that stands in a text has its anchor among those. Anchors are salted with
-the paper, joined by hash, and only pairs that so meet are compared. Quotes too short for that are found by the hash of
-their whole, among the text's runs of the same length. A text sends only hashes that some quote may have, by a table of
-at most ``2**SLOT_BITS`` marks; texts are fetched again for the pairs found.
+text all hashes of ``GRAM`` code points are taken that are least among ``SPAN`` neighbours; those of a quote are among
+those of a text it stands in. Of each quote the one serves as anchor that the fewest quotes of its paper have, by a table
+of ``2**SLOT_BITS`` one-byte counters (quotes made of the same phrases differ in the rest). Anchors are salted with the
+paper, joined by hash, and only pairs that so meet are compared. Quotes too short for that are found by the hash of their
+whole, among the text's runs of the same length. A text sends only hashes that some quote may have, by a table of
+``2**SLOT_BITS`` marks; quotes whose anchor no text sent are left out, and texts are fetched again for the pairs found.
 
 Defined cases: a quote is looked for stripped and, failing that, with its white space squeezed; null and blank quotes,
 null texts and rows without a paper find nothing; repeated rows count once; the first place in a text is given.
@@ -25,6 +26,8 @@ from caseweave.functions.windows import code_points, least_of_neighbours, window
 from caseweave.session import cut
 
 GRAM, SPAN, SLOT_BITS = 16, 16, 24
+#: Hashes sent by texts that may be broadcast, 8 bytes each; with more the join of quotes and texts does it all.
+MAX_SENT = 2_000_000
 SHORT = GRAM + SPAN - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,19 +43,44 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(64 - SLOT_BITS)
 
 
+def _hashes(needle: str, salt: int) -> np.ndarray:
+    codes = code_points(needle)
+    if len(codes) >= SHORT:
+        return _salted(least_of_neighbours(window_hashes(codes, GRAM), SPAN), salt, 0)
+    return _salted(window_hashes(codes, len(codes)), salt, len(codes))
+
+
+def usage(needles: DataFrame) -> np.ndarray:
+    """One byte per slot: 0 where no needle (salt, needle) has a hash, else 1 + log2 of how many have; added up per task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(1 << SLOT_BITS, np.uint32)
+        for batch in batches:
+            for salt, needle in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                mine[_slot(_hashes(needle, salt))] += 1
+        used = np.flatnonzero(mine)
+        for at in range(0, len(used), 1 << 16):
+            part = used[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(mine[part], pa.int64())], names=["slot", "n"])
+
+    level = (F.floor(F.log2(F.sum("n").cast("double"))) + 1).cast("byte")
+    found = needles.select("salt", "needle").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(level.alias("n")).toArrow()
+    table = np.zeros(1 << SLOT_BITS, np.uint8)
+    table[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return table
+
+
 def anchored(needles: DataFrame) -> DataFrame:
-    """(needle columns, anchor) of (.., salt, needle)."""
+    """(needle columns, anchor) of (.., salt, needle): the hash of each needle that the fewest have."""
     cols = needles.columns
+    shared = needles.sparkSession.sparkContext.broadcast(usage(needles))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.empty(batch.num_rows, np.uint64)
             for i, (salt, needle) in enumerate(zip(batch.column(cols.index("salt")).to_pylist(), batch.column(cols.index("needle")).to_pylist())):
-                codes = code_points(needle)
-                if len(codes) >= SHORT:
-                    out[i] = _salted(window_hashes(codes[:SHORT], GRAM).min(keepdims=True), salt, 0)[0]
-                else:
-                    out[i] = _salted(window_hashes(codes, len(codes)), salt, len(codes))[0]
+                h = _hashes(needle, salt)
+                out[i] = h[np.argmin(shared.value[_slot(h)])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.view(np.int64))], names=[*cols, "anchor"])
 
     kinds = ", ".join(f"`{c}` {needles.schema[c].dataType.simpleString()}" for c in cols)
@@ -65,8 +93,8 @@ def locate_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     given = quotes.filter("key IS NOT NULL").select("key", "quote", F.regexp_replace("quote", r"^\s+|\s+$", "").alias("q")).filter("q <> ''")
     salt = F.xxhash64(F.col("key").cast("string")).alias("salt")
     forms = F.filter(F.array(F.struct(F.lit(0).alias("form"), F.col("q").alias("needle")), F.when(squeezed(F.col("q")) != F.col("q"), F.struct(F.lit(1).alias("form"), squeezed(F.col("q")).alias("needle")))), lambda x: x.isNotNull())
-    needles = given.distinct().select("key", salt, "quote", F.explode(forms).alias("f")).select("key", "salt", "quote", "f.form", "f.needle")
-    needles = cut(anchored(needles))
+    needles = given.select("key", salt, "quote", F.explode(forms).alias("f")).select("key", "salt", "quote", "f.form", "f.needle")
+    needles = cut(anchored(cut(needles)))
     lengths = sorted(r[0] for r in needles.select(F.length("needle").alias("n")).filter(F.col("n") < SHORT).distinct().collect())  # fewer than SHORT numbers
     marked = np.zeros(1 << SLOT_BITS, bool)
     marked[needles.select(F.shiftrightunsigned("anchor", 64 - SLOT_BITS).cast("int").alias("s")).distinct().toArrow()["s"].to_numpy()] = True
@@ -90,7 +118,10 @@ def locate_quotes(docs: DataFrame, quotes: DataFrame) -> DataFrame:
 
     texts = docs.filter("key IS NOT NULL AND text <> ''").select("doc_id", "key", F.xxhash64("text").alias("mark"), salt, "text")
     kind = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", "key")}
-    hits = texts.mapInArrow(run, f"doc_id {kind['doc_id']}, key {kind['key']}, mark bigint, anchor bigint")
+    hits = cut(texts.mapInArrow(run, f"doc_id {kind['doc_id']}, key {kind['key']}, mark bigint, anchor bigint"))
+    sent = hits.select("anchor").distinct()
+    if hits.count() <= MAX_SENT:
+        needles = needles.join(F.broadcast(sent), "anchor", "left_semi")
     met = cut(hits.join(needles, ["key", "anchor"]).select("doc_id", "key", "mark", "quote", "form", "needle").distinct())
     found = met.join(texts.select("doc_id", "key", "mark", "text"), ["doc_id", "key", "mark"]).withColumn("at", F.instr("text", F.col("needle")) - 1).filter("at >= 0")
     per = found.groupBy("doc_id", "key", "mark", "quote").agg(F.min_by("at", "form").cast("long").alias("at"))

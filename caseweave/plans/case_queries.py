@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseweave.functions import text as tx
 from caseweave.functions.durations import iso_days
-from caseweave.functions.ids import clean_id, trimmed
+from caseweave.functions.ids import clean_id, newest_values, trimmed
 from caseweave.operators import dag, extract, grounding, metrics, qa, quotes, rank, records, search
 from caseweave.plans.queries import BLANKS, query
 from caseweave.session import cut, release, table
@@ -563,17 +563,20 @@ m AS (SELECT doc_id, quote, instr(text, q) AS a, instr(text, s) AS b FROM s JOIN
 SELECT DISTINCT doc_id, quote, CASE WHEN a > 0 THEN a ELSE b END - 1 AS at FROM m""")
 def quote_locate(spark: SparkSession, d: str) -> DataFrame:
     """Evidence quotes of findings, diagnoses and variants in the texts of their paper."""
-    return quotes.locate_quotes(_paper_texts(spark, d), _evidence_quotes(Base(spark, d).current("source", "phenotypes", "diagnoses", "variants")))
+    return quotes.locate_quotes(_paper_texts(spark, d), _evidence_quotes(table(spark, d, "case_records")))
 
 
 def _paper_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.col("pmid").alias("key"), "text")
 
 
-def _evidence_quotes(cur: DataFrame) -> DataFrame:
-    """(key, quote): quotes of all evidence with the number of the paper."""
-    evidence = F.concat(*[F.coalesce(F.flatten(F.transform(name, lambda x: F.coalesce(F.transform(x["evidence"], lambda e: e["quote"]), F.array().cast("array<string>")))), F.array().cast("array<string>")) for name, _ in records.LISTS])
-    return cur.select(F.col("source.pmid").alias("key"), F.explode(evidence).alias("quote")).filter("quote IS NOT NULL")
+def _evidence_quotes(rows: DataFrame) -> DataFrame:
+    """(key, quote): quotes of all evidence of current records with the number of the paper; only quotes are shuffled."""
+    none = F.array().cast("array<string>")
+    lists = [name for name, _ in records.LISTS]
+    evidence = F.concat(*[F.coalesce(F.flatten(F.transform(name, lambda x: F.coalesce(F.transform(x["evidence"], lambda e: e["quote"]), none))), none) for name in lists])
+    cur = newest_values(rows, "id", "ingested_at", ["source", *lists], {"key": F.col("source.pmid"), "quotes": F.array_distinct(evidence)})
+    return cur.filter("key IS NOT NULL").select("key", F.explode("quotes").alias("quote")).filter("quote IS NOT NULL")
 
 
 @query(f"SELECT id, round({ISO_SQL.format(c='d')}, 4) AS days FROM (SELECT DISTINCT id, subject.age_at_last_encounter.iso8601duration AS d FROM case_records) WHERE d IS NOT NULL")

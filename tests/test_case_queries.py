@@ -57,3 +57,27 @@ def test_scores_of_all_fields(spark, tmp_path):
     cube = {r["field"]: r["n"] for r in case_queries.field_cube(spark, str(tmp_path)).filter("track = 'all' AND split = 'all'").collect()}
     assert cube == dict.fromkeys(want, 2)
     assert {r["field"] for r in case_queries.bootstrap_ci(spark, str(tmp_path)).collect()} == set(want)
+
+
+def test_quotes_against_brute_force(spark, monkeypatch):
+    import random
+
+    from caseweave.operators import quotes
+
+    rng = random.Random(12)
+    words = ["ab", "cde", "é", "🙂x", "the gait", "was", "normal", "in", "boys"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 60))) for _ in range(40)] + [None, "", "z" * 500]
+    docs = [(i, rng.choice(["1", "1", "2", None]), t) for i, t in enumerate(texts)]
+    docs += docs[:3]
+    asked = [(rng.choice(["1", "2"]), q) for t in texts if t for q in (t[5 : 5 + rng.randrange(1, 90)], " " + t[:40].replace(" ", "  ", 1) + "\n", "nowhere at all in any of the texts here")] + [("1", None), ("1", "  "), (None, "ab")]
+    want = set()
+    for key, q in asked:
+        forms = [q.strip(), " ".join(q.split())] if q and q.strip() else []
+        for i, k, t in docs:
+            at = next((t.find(f) for f in forms if f in t), None) if t and k == key and key else None
+            want |= {(i, q, at)} if at is not None else set()
+    frames = spark.createDataFrame(docs, "doc_id int, key string, text string"), spark.createDataFrame(asked, "key string, quote string")
+    for bound in (quotes.MAX_SENT, 0):
+        monkeypatch.setattr(quotes, "MAX_SENT", bound)
+        got = rows(quotes.locate_quotes(*frames))
+        assert len(got) == len(set(got)) and set(got) == want
