@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from caseweave.functions.windows import TOP, sliding, window_hashes
 from caseweave.session import cut
 
 MIN_SPAN = 300
@@ -44,53 +45,7 @@ MAX_BROADCAST_ANCHORS = 1_000_000
 #: Blocks of one anchor that are parsed in one task, and rows brought together before parsing.
 HOT, AT_ONCE = 4096, 4096
 CHUNK_CHARS = 1 << 20
-_BASE, _MIX, _TOP = 0x5851F42D4C957F2D, 0x9E3779B97F4A7C15, np.uint64(0xFFFFFFFFFFFFFFFF)
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 4096), base, dtype=np.uint64)
-        steps[0] = 1
-        have = _powers[name] = np.multiply.accumulate(steps)
-    return have[:n]
-
-
-def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every run of ``width`` code points: a polynomial modulo 2**64, then mixed."""
-    n = len(codes)
-    if n < width:
-        return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        c = codes.astype(np.uint64)
-        c += np.uint64(1)
-        c *= np.uint64(_MIX)
-        c ^= c >> np.uint64(29)
-        c *= _power("down", _INVERSE, n)
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.add.accumulate(c, out=sums[1:])
-        h = sums[width:] - sums[: n - width + 1]
-        h *= _power("up", _BASE, n)[: n - width + 1]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-    return h
-
-
-def _sliding(values: np.ndarray, width: int, best: Any) -> np.ndarray:
-    """best (minimum or maximum) of every run of ``width`` values, by doubling."""
-    out, have = values, 1
-    while have * 2 <= width:
-        out = best(out[:-have], out[have:])
-        have *= 2
-    if have < width:
-        step = width - have
-        out = best(out[:-step], out[step:])
-    return out
+_MIX = 0x9E3779B97F4A7C15
 
 
 def anchors(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,12 +59,12 @@ def anchors(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.n
     which = np.repeat(np.arange(len(texts)), sizes)[: len(h)]
     inside = np.arange(len(h)) + gram <= ends[which]
     # a run of windows counts only if all lie within one text; runs across a border get the top value and select nothing
-    least = _sliding(np.where(inside, h, _TOP), span, np.minimum)
+    least = sliding(np.where(inside, h, TOP), span, np.minimum)
     last = np.arange(len(least)) + span - 1
     whole = (which[: len(least)] == which[last]) & inside[last]
     least = np.where(whole, least, np.uint64(0))
     pad = np.zeros(span - 1, np.uint64)
-    most = _sliding(np.concatenate([pad, least, pad]), span, np.maximum)
+    most = sliding(np.concatenate([pad, least, pad]), span, np.maximum)
     chosen = np.flatnonzero((most == h) & inside)
     return which[chosen], chosen - (ends - sizes)[which[chosen]], h[chosen]
 
