@@ -159,6 +159,25 @@ def first_xref(exact: DataFrame, loose: DataFrame) -> DataFrame:
     return ranked.groupBy("xref").agg(F.min_by("term", F.struct("_p", "term")).alias("term"))
 
 
+def normalise_diseases(ids: DataFrame, terms: DataFrame, alias: DataFrame, prefixes: tuple[str, ...] = ("OMIM:", "ORPHANET:", "DECIPHER:"), own: str = "MONDO:", predicate: str = "equivalentTo") -> DataFrame:
+    """(disease, term): live terms for ids (disease) of any vocabulary, null where there is none.
+
+    An id with the prefix ``own`` goes through the aliases. Any other is looked up in the cross references, ORPHA: read as
+    Orphanet: and letter case ignored; for each of them exact equivalences come first, then the least term id.
+    """
+    x = terms.withColumn("xrefs", F.transform("xrefs", lambda x: F.struct(F.regexp_replace(F.upper(F.trim(x["xref"])), "^ORPHA:", "ORPHANET:").alias("xref"), x["modifier"].alias("modifier"))))
+    index = first_xref(xref_index(x, alias, list(prefixes), predicate), xref_index(x, alias, list(prefixes))).select(F.col("xref").alias("_key"), F.col("term").alias("_x"))
+    asked = ids.select("disease").distinct().withColumn("_key", F.regexp_replace(F.coalesce(clean_id(F.col("disease")), F.lit("")), "^ORPHA:", "ORPHANET:"))
+    j = asked.join(alias.select(F.col("src").alias("_key"), F.col("dst").alias("_a")), "_key", "left").join(index, "_key", "left")
+    return j.select("disease", F.when(F.col("_key").startswith(own), F.col("_a")).otherwise(F.col("_x")).alias("term"))
+
+
+def look_up(refs: DataFrame, rows: DataFrame, alias: DataFrame) -> DataFrame:
+    """(ref, known, term, label) of references (ref): whether the ontology has them, the live term and its name."""
+    j = refs.select("ref").distinct().join(alias.select(F.col("src").alias("ref"), F.col("dst").alias("term")), "ref", "left")
+    return j.join(rows.select(F.col("id").alias("term"), F.col("name").alias("label")), "term", "left").select("ref", F.col("term").isNotNull().alias("known"), "term", "label")
+
+
 def label_index(terms: DataFrame, scopes: tuple[str, ...] = ("EXACT", "NARROW"), names: bool = True) -> DataFrame:
     """(phrase, term): lower-cased names and synonyms of the scopes, withdrawn terms left out."""
     empty = F.array().cast(terms.schema["synonyms"].dataType)

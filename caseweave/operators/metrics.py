@@ -122,6 +122,12 @@ def bootstrap(scores: DataFrame, case: str, n: int = 1000, seed: int = 20260817,
     return ranked.select("field", lo.alias("lo"), hi.alias("hi"))
 
 
+def best_of(scores: DataFrame, group: str, case: str, by: str = "f1") -> DataFrame:
+    """(group, case, by): the case with the highest score of each group, the first by name where they tie."""
+    best = scores.groupBy(group).agg(F.min_by(F.struct(case, by), F.struct(-F.col(by), F.col(case))).alias("b"))
+    return best.select(group, f"b.{case}", f"b.{by}")
+
+
 def first_hit(ranked: DataFrame, gold: DataFrame, query: str = "query", item: str = "item") -> DataFrame:
     """(query, rank): rank of the first right answer of ``ranked`` (query, item, rank); null where none is right."""
     right = ranked.join(gold.select(query, item).distinct(), [query, item], "left_semi").groupBy(query).agg(F.min("rank").alias("rank"))

@@ -6,13 +6,16 @@ Every rule is a frame (id, code, severity, a, b); the violations of a collection
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from caseweave.functions.durations import iso_days
 from caseweave.functions.ids import clean_id
-from caseweave.functions.text import negation_cue
+from caseweave.functions.text import cue_near
 from caseweave.operators import dag
 
 #: Frequency terms and notations, inheritance term, factors, bounds.
@@ -121,26 +124,43 @@ def span_verdicts(evidence: DataFrame, texts: DataFrame, grounded: DataFrame, cl
     """``evidence`` (key, doc_id, term, excluded, start_char, end_char) with ``verdict``.
 
     ``texts`` is (doc_id, text); ``grounded`` (key, found) holds the live terms that the span (or the text it was
-    derived from) yields. A found term supports the claim if it is the claimed one, above it or below it.
+    derived from) yields. A found term supports the claim if it is the claimed one, above it or below it. Where a column
+    ``derived`` says that a claim came from a label and not from its span, polarity is taken as asserted.
     """
     kin = closed.select(F.col("term").alias("found"), F.col("ancestor").alias("term"))
     kin = kin.unionByName(closed.select(F.col("ancestor").alias("found"), "term")).distinct()
     backed = evidence.select("key", "term").join(grounded.select("key", "found"), "key").join(kin, ["found", "term"], "left_semi").select("key").distinct().withColumn("_ok", F.lit(True))
-    j = evidence.join(texts.select("doc_id", "text"), "doc_id", "left").join(backed, "key", "left")
+    j = _spans(evidence.join(texts.select("doc_id", F.col("text").alias("_text")), "doc_id", "left"), pad).join(backed, "key", "left")
     s, e = F.col("start_char"), F.col("end_char")
-    span = F.substring("text", s + 1, e - s)
-    begin = F.greatest(s - pad, F.lit(0))
-    around = F.substring("text", begin + 1, F.least(e + pad, F.length("text")) - begin)
-    cue = negation_cue(around, s - begin, e - begin)
     verdict = (
         F.when(s.isNull() | e.isNull(), "no_evidence")
-        .when(F.col("text").isNull() | (e > F.length("text")) | (s < 0), "offset_out_of_range")
-        .when(F.trim(span) == "", "empty_span")
+        .when(F.col("_n").isNull() | (e > F.col("_n")) | (s < 0), "offset_out_of_range")
+        .when(F.col("_blank"), "empty_span")
         .when(F.col("_ok").isNull(), "term_not_in_span")
-        .when(cue.isNotNull() != F.coalesce("excluded", F.lit(False)), "polarity_mismatch")
+        .when((~F.coalesce("derived", F.lit(False)) if "derived" in evidence.columns else F.lit(True)) & (F.col("_cue").isNotNull() != F.coalesce("excluded", F.lit(False))), "polarity_mismatch")
         .otherwise("supported")
     )
-    return j.withColumn("verdict", verdict).drop("text", "_ok")
+    return j.withColumn("verdict", verdict).drop("_n", "_blank", "_cue", "_ok")
+
+
+def _spans(rows: DataFrame, pad: int) -> DataFrame:
+    """``rows`` with the length of ``_text``, whether their span is blank and the cue within ``pad`` characters that negates it, instead of the text."""
+    kept = [c for c in rows.columns if c != "_text"]
+    at = {c: kept.index(c) for c in ("start_char", "end_char")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, blank, cue = [], [], []
+            for text, s, e in zip(batch.column(len(kept)).to_pylist(), *(batch.column(at[c]).to_pylist() for c in at)):
+                good = text is not None and s is not None and e is not None and 0 <= s and e <= len(text)
+                n.append(None if text is None else len(text))
+                blank.append(good and not text[s:e].strip())
+                around = max(0, s - pad) if good else 0
+                cue.append(cue_near(text[around : e + pad], s - around, e - around) if good else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(n, pa.int32()), pa.array(blank, pa.bool_()), pa.array(cue, pa.string())], names=[*kept, "_n", "_blank", "_cue"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.select(*kept, "_text").mapInArrow(run, f"{kinds}, _n int, _blank boolean, _cue string")
 
 
 def support_rates(verdicts: DataFrame) -> DataFrame:
@@ -167,6 +187,62 @@ def merge_votes(votes: DataFrame, n_voters: DataFrame, review_below: float = REV
     return per.join(n_voters, "case").select("case", "key", share.alias("share"), (F.col("n") / F.col("n_voters") < review_below).alias("review"))
 
 
+def consensus_records(deliveries: DataFrame, review_below: float = REVIEW_BELOW, most: int = MAX_EVIDENCE) -> DataFrame:
+    """(id, n_records, agreement, review_queue, confidence, evidence): the records of several extractors on one case, merged.
+
+    ``deliveries`` is (id, number, phenotypes, diagnoses, variants). Keys are term ids (with ! where excluded), dx: and
+    gene: ids; a record votes once a key. ``agreement`` maps keys to shares (four places), ``confidence`` is their mean,
+    ``evidence`` maps finding keys to how much evidence stays, at most ``most`` pieces of each.
+    """
+    size = lambda x: F.greatest(F.coalesce(F.size(x["evidence"]), F.lit(0)), F.lit(0))
+    entry = "struct<key:string,n:int>"
+    found = F.transform("phenotypes", lambda p: F.struct(F.concat(clean_id(p["term"]["id"]), F.when(F.coalesce(p["excluded"], F.lit(False)), "!").otherwise("")).alias("key"), size(p).alias("n")))
+    dx = F.transform("diagnoses", lambda d: F.struct(F.concat(F.lit("dx:"), clean_id(d["disease"]["id"])).alias("key"), F.lit(0).alias("n")))
+    gene = F.transform("variants", lambda v: F.struct(F.concat(F.lit("gene:"), clean_id(v["gene"]["id"])).alias("key"), F.lit(0).alias("n")))
+    keys = F.concat(*[F.coalesce(x, F.array().cast(f"array<{entry}>")) for x in (found, dx, gene)])
+    rows = deliveries.select("id", "number", F.explode(keys).alias("k")).select("id", "number", "k.key", "k.n").filter("key IS NOT NULL")
+    once = rows.groupBy("id", "key", "number").agg(F.max("n").alias("n"))
+    n_records = deliveries.groupBy("id").agg(F.count_distinct("number").alias("n_records"))
+    votes = once.groupBy("id", "key").agg(F.count(F.lit(1)).alias("votes"), F.sum("n").alias("pieces")).join(n_records, "id")
+    per = votes.select("id", "key", F.round(F.col("votes") / F.col("n_records"), 4).alias("share"), (F.col("votes") / F.col("n_records") < review_below).alias("review"), F.least("pieces", F.lit(most)).alias("kept"))
+    finding = ~F.col("key").startswith("dx:") & ~F.col("key").startswith("gene:")
+    entries = lambda value, cond: F.map_from_entries(F.array_sort(F.filter(F.collect_list(F.when(cond, F.struct("key", value))), lambda x: x.isNotNull())))
+    merged = per.groupBy("id").agg(
+        entries("share", F.lit(True)).alias("agreement"), F.array_sort(F.filter(F.collect_list(F.when(F.col("review"), F.col("key"))), lambda x: x.isNotNull())).alias("review_queue"),
+        F.round(F.avg("share"), 4).alias("confidence"), entries("kept", finding).alias("evidence"),
+    )
+    return n_records.join(merged, "id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+
+
+def variant_verdicts(evidence: DataFrame, texts: DataFrame) -> DataFrame:
+    """``evidence`` (key, doc_id, gene_label, hgvs_c, start_char, end_char), the first of each variant, with ``verdict``.
+
+    A span supports a variant if the gene's symbol or the coding change stands in it.
+    """
+    j = evidence.join(texts.select("doc_id", "text"), "doc_id", "left")
+    s, e = F.col("start_char"), F.col("end_char")
+    span = F.substring("text", s + 1, e - s)
+    holds = lambda c: F.coalesce((c != "") & span.contains(c), F.lit(False))
+    verdict = (
+        F.when(~F.coalesce("has_evidence", F.lit(False)), "no_evidence").when(s.isNull() | e.isNull() | F.col("text").isNull() | (e > F.length("text")), "offset_out_of_range")
+        .when(holds(F.col("gene_label")) | holds(F.col("hgvs_c")), "supported").otherwise("term_not_in_span")
+    )
+    return j.withColumn("verdict", verdict).drop("text")
+
+
+def audit(violations: DataFrame, verdicts: DataFrame, agreement: DataFrame, notices: DataFrame) -> DataFrame:
+    """(part, value, n): one report of rule violations, span verdicts, agreement with stated diagnoses and retracted sources."""
+    parts = [
+        violations.select(F.lit("violation").alias("part"), F.concat_ws(":", "severity", "code").alias("value")), verdicts.select(F.lit("span").alias("part"), F.col("verdict").alias("value")),
+        agreement.select(F.lit("stated").alias("part"), F.coalesce(F.col("agrees").cast("string"), F.lit("none stated")).alias("value")),
+        notices.select(F.lit("retraction").alias("part"), F.when(F.col("notice").isNull(), "clear").otherwise("noticed").alias("value")),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def cap_evidence(evidence: DataFrame, keys: list[str], order: list[str], n: int = MAX_EVIDENCE) -> DataFrame:
     """The first ``n`` rows of each key in order, with ``place``."""
     return evidence.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("place") <= n)

@@ -101,6 +101,23 @@ def union_by_paper(records: DataFrame) -> DataFrame:
     return rows.groupBy("pmid", "kind", "about", "excluded").agg(F.min("id").alias("first_id"))
 
 
+def union_gold(records: DataFrame) -> DataFrame:
+    """(pmid, kind, about, excluded, hgvs_c, first_id): what all records of a paper say together; variants by gene and coding change.
+
+    Of several records that say the same the first by id is named.
+    """
+    def entries(name: str, about: str, kind: str) -> Column:
+        return F.transform(name, lambda x: F.struct(
+            F.lit(kind).alias("kind"), clean_id(x[about]["id"]).alias("about"), (F.coalesce(x["excluded"], F.lit(False)) if kind == "phenotype" else F.lit(False)).alias("excluded"),
+            (x["hgvs_c"] if kind == "variant" else F.lit(None).cast("string")).alias("hgvs_c"),
+        ))
+
+    lists = [entries(name, about, kind) for (name, about), kind in zip(LISTS, ("phenotype", "diagnosis", "variant"))]
+    said = F.concat(*[F.coalesce(x, F.array().cast("array<struct<kind:string,about:string,excluded:boolean,hgvs_c:string>>")) for x in lists])
+    rows = records.filter("source.pmid IS NOT NULL").select(F.col("source.pmid").alias("pmid"), "id", F.explode(said).alias("s")).select("pmid", "id", "s.*")
+    return rows.filter("about IS NOT NULL OR hgvs_c IS NOT NULL").groupBy("pmid", "kind", "about", "excluded", "hgvs_c").agg(F.min("id").alias("first_id"))
+
+
 def track(records: DataFrame) -> DataFrame:
     """(pmid, n_records, track): single where a paper has exactly one record, else paper."""
     per = records.select(F.col("source.pmid").alias("pmid"), "id").filter(F.col("pmid").isNotNull()).groupBy("pmid").agg(F.count(F.lit(1)).alias("n_records"))
@@ -144,6 +161,39 @@ PACKET = (
 )
 
 
+def packet_records(packets: DataFrame, column: str = "packet", extractor: str = "curated") -> DataFrame:
+    """Phenopacket JSON as case records (id, source, subject, phenotypes, diagnoses, variants, extractors).
+
+    As in ``from_phenopacket``: the first PMID reference names the paper, features without an id are skipped, listed
+    diseases count only where no interpretation names one, a packet without an id is named by its digest. Onsets of whole
+    weeks are gestational. Every assertion gets the paper as its evidence, without a place in it.
+    """
+    p = packets.select(F.from_json(column, PACKET).alias("p"), F.col(column).alias("_raw")).filter(F.col("p").isNotNull())
+    refs = F.filter("p.metaData.externalReferences", lambda r: F.upper(r["id"]).startswith("PMID:"))
+    pmid = F.substring(F.get(refs, F.lit(0))["id"], 6, 20)
+    p = p.select("p", "_raw", pmid.alias("pmid"), F.get(refs, F.lit(0))["description"].alias("title"))
+    text = lambda v: F.lit(v).cast("string")
+    place = F.struct(F.concat(F.lit("PMID:"), F.coalesce("pmid", F.lit("0"))).alias("source_id"), F.lit("unknown").alias("section"), F.lit(None).cast("int").alias("start_char"), F.lit(None).cast("int").alias("end_char"), text(None).alias("quote"), F.lit(extractor).alias("extractor"))
+    evidence = F.array(place).alias("evidence")
+    term = lambda t: F.struct(t["id"].alias("id"), t["label"].alias("label"))
+    weeks = lambda d: F.regexp_extract(d, r"^P(\d+)W$", 1).try_cast("int")
+    when = lambda d: F.struct(F.when(weeks(d).isNull(), d).alias("iso8601duration"), weeks(d).alias("gestational_weeks"))
+    features = F.filter("p.phenotypicFeatures", lambda f: f["type"]["id"].isNotNull())
+    phenotypes = F.transform(features, lambda f: F.struct(term(f["type"]).alias("term"), F.coalesce(f["excluded"], F.lit(False)).alias("excluded"), when(f["onset"]["iso8601duration"]).alias("onset"), text(None).alias("negation_cue"), evidence))
+    disease = lambda d, status: F.struct(term(d).alias("disease"), status.alias("status"), F.lit(False).alias("stated_in_abstract"), evidence)
+    named = F.transform(F.filter("p.interpretations", lambda i: i["diagnosis"]["disease"]["id"].isNotNull()), lambda i: disease(i["diagnosis"]["disease"], i["progressStatus"]))
+    listed = F.transform(F.filter("p.diseases", lambda d: d["term"]["id"].isNotNull()), lambda d: disease(d["term"], text(None)))
+    under = F.flatten(F.transform("p.interpretations", lambda i: F.coalesce(i["diagnosis"]["genomicInterpretations"], F.array())))
+    genomic = F.array_distinct(F.concat(F.coalesce(under, F.array()), F.coalesce("p.unassignedVariants", F.array())))
+    variant = lambda g: g["variantInterpretation"]
+    variants = F.transform(genomic, lambda g: F.struct(F.struct(variant(g)["geneContext"]["valueId"].alias("id"), variant(g)["geneContext"]["symbol"].alias("label")).alias("gene"), variant(g)["hgvsC"].alias("hgvs_c"), variant(g)["hgvsP"].alias("hgvs_p"), evidence))
+    return p.select(
+        F.coalesce("p.id", F.substring(F.sha1(F.col("_raw")), 1, 12)).alias("id"), F.struct("pmid", "title").alias("source"),
+        F.struct(F.col("p.subject.id").alias("id"), F.col("p.subject.sex").alias("sex"), F.col("p.subject.timeAtLastEncounter.age").alias("age_at_last_encounter"), F.col("p.subject.vitalStatus.status").alias("vital_status")).alias("subject"),
+        phenotypes.alias("phenotypes"), F.when(F.size(named) > 0, named).otherwise(listed).alias("diagnoses"), variants.alias("variants"), F.array(F.lit(extractor)).alias("extractors"),
+    )
+
+
 def from_phenopacket(packets: DataFrame, column: str = "packet") -> DataFrame:
     """Flat views of phenopacket JSON: (id, pmid, sex, observed, excluded, diseases, genes).
 

@@ -50,6 +50,14 @@ def value_counts(posts: DataFrame) -> DataFrame:
     return posts.groupBy("kind", "value").agg(F.count_distinct("id").alias("n_records"))
 
 
+def most_common(posts: DataFrame, n: int = 10) -> DataFrame:
+    """(kind, value, n_records, place): the ``n`` values of each kind that most records have, ties by value."""
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n_records"), "value"))
+    return value_counts(posts).withColumn("place", place).filter(F.col("place") <= n)
+
+
 def statistics(posts: DataFrame) -> DataFrame:
     """(kind, n_values, n_records)."""
     return posts.groupBy("kind").agg(F.count_distinct("value").alias("n_values"), F.count_distinct("id").alias("n_records"))

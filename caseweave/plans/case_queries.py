@@ -259,12 +259,25 @@ def _case_scores(spark: SparkSession, d: str) -> DataFrame:
     return every.join(scores, ["id", "field"], "left").select("id", "field", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in metrics.PARTS])
 
 
-@query()
+SCORES_SQL = f"""fx AS (SELECT DISTINCT id, alias.dst AS term FROM (SELECT id, unnest(phenotypes) AS p FROM first_d) JOIN alias ON alias.src = {clean('p.term.id')} WHERE coalesce(p.excluded, false)),
+fdx AS (SELECT DISTINCT id, {clean('p.disease.id')} AS v FROM (SELECT id, unnest(diagnoses) AS p FROM first_d)), fgx AS (SELECT DISTINCT id, {clean('p.gene.id')} AS v FROM (SELECT id, unnest(variants) AS p FROM first_d)),
+sides AS (SELECT 0 AS side, 'observed_exact' AS field, id, term AS v FROM pr UNION ALL SELECT 1, 'observed_exact', id, term FROM ob UNION ALL SELECT 0, 'excluded_exact', id, term FROM fx UNION ALL SELECT 1, 'excluded_exact', id, term FROM ex
+  UNION ALL SELECT 0, 'gene_exact', id, v FROM fgx UNION ALL SELECT 1, 'gene_exact', id, gene FROM gx UNION ALL SELECT 0, 'disease_exact', id, v FROM fdx UNION ALL SELECT 1, 'disease_exact', id, disease FROM dx
+  UNION ALL SELECT 0, 'disease_normalised', id, alias.dst FROM fdx JOIN alias ON src = v UNION ALL SELECT 1, 'disease_normalised', id, alias.dst FROM dx JOIN alias ON src = disease),
+cells AS (SELECT id, field, v, min(side) = 0 AS p, max(side) = 1 AS g FROM sides WHERE v IS NOT NULL GROUP BY 1, 2, 3),
+ex_scores AS (SELECT id, field, count(*) FILTER (p AND g)::DOUBLE AS tp, count(*) FILTER (NOT g)::DOUBLE AS fp, count(*) FILTER (NOT p)::DOUBLE AS fn FROM cells GROUP BY 1, 2),
+every AS (SELECT cur.id, f.field FROM cur, (SELECT unnest({list(('observed_exact', 'observed_graded', 'excluded_exact', 'gene_exact', 'disease_exact', 'disease_normalised'))}) AS field) f),
+cs AS (SELECT every.id, every.field, coalesce(CASE WHEN every.field = 'observed_graded' THEN (g.tp_p + g.tp_r) / 2 ELSE e.tp END, 0) AS tp, coalesce(CASE WHEN every.field = 'observed_graded' THEN g.fp ELSE e.fp END, 0) AS fp,
+  coalesce(CASE WHEN every.field = 'observed_graded' THEN g.fn ELSE e.fn END, 0) AS fn, coalesce(CASE WHEN every.field = 'observed_graded' THEN g.tp_p ELSE e.tp END, 0) AS tp_p, coalesce(CASE WHEN every.field = 'observed_graded' THEN g.tp_r ELSE e.tp END, 0) AS tp_r
+  FROM every LEFT JOIN ex_scores e ON e.id = every.id AND e.field = every.field LEFT JOIN g ON g.id = every.id)"""
+
+
+@query(FULL + "," + FIRST_SQL + "," + GRADED_SQL + "," + SCORES_SQL + " SELECT id, field, round(tp, 5) AS tp, round(fp, 5) AS fp, round(fn, 5) AS fn, round(tp_p, 5) AS tp_p, round(tp_r, 5) AS tp_r FROM cs")
 def case_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _case_scores(spark, d)
+    return _case_scores(spark, d).select("id", "field", *[F.round(c, 5).alias(c) for c in metrics.PARTS])
 
 
-@query()
+@query(FULL + "," + FIRST_SQL + "," + GRADED_SQL + "," + SCORES_SQL + CUBE_SQL.replace("f AS (SELECT 'observed_graded' AS field, g.id, tp_p, tp_r, fp, fn FROM g)", "f AS (SELECT field, id, tp_p, tp_r, fp, fn FROM cs)"))
 def field_cube(spark: SparkSession, d: str) -> DataFrame:
     """``metric_cube`` over all fields and cases of ``case_scores``."""
     cur = Base(spark, d).current("source")

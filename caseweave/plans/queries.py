@@ -69,13 +69,35 @@ def _linked(spark: SparkSession, d: str) -> DataFrame:
     return flatten.with_parents(flatten.nodes(table(spark, d, "raw_records")))
 
 
-@query()
+def _listed(x: str) -> str:
+    """SQL: a JSON value as a list of JSON values, as ``flatten.entries`` reads it."""
+    inner = f"({x} ->> '$')"
+    return f"""CASE json_type({x}) WHEN 'ARRAY' THEN from_json({x}, '["JSON"]') WHEN 'OBJECT' THEN [{x}::JSON] WHEN 'VARCHAR' THEN CASE WHEN json_valid({inner}) THEN CASE json_type({inner})
+  WHEN 'ARRAY' THEN from_json({inner}::JSON, '["JSON"]') WHEN 'OBJECT' THEN [{inner}::JSON] END END END"""
+
+
+_NESTED = f"""WITH last AS (SELECT raw_id, payload FROM (SELECT *, row_number() OVER (PARTITION BY raw_id ORDER BY received_at DESC NULLS LAST) AS rn FROM raw_records WHERE raw_id IS NOT NULL) WHERE rn = 1),
+top AS (SELECT raw_id, payload::JSON AS j FROM last WHERE CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END),
+arr AS (SELECT raw_id, CASE WHEN list_contains(json_keys(j), 'record') THEN [j -> 'record'] WHEN list_contains(json_keys(j), 'records') THEN CASE WHEN json_type(j -> 'records') = 'ARRAY' THEN from_json(j -> 'records', '["JSON"]') ELSE [j -> 'records'] END ELSE [j] END AS a FROM top),
+one AS (SELECT raw_id, unnest(a) AS e, generate_subscripts(a, 1) - 1 AS record_pos FROM arr),
+many AS (SELECT raw_id, record_pos, {_listed('e')} AS l FROM one),
+rec AS (SELECT raw_id, record_pos, k, r FROM (SELECT raw_id, record_pos, unnest(l) AS r, generate_subscripts(l, 1) AS k FROM many) WHERE json_type(r) = 'OBJECT'),
+items AS (SELECT raw_id, record_pos, k, record_id, kind, unnest(l) AS item, generate_subscripts(l, 1) - 1 AS item_pos FROM (
+  SELECT raw_id, record_pos, k, r ->> 'id' AS record_id, 'phenotype' AS kind, {_listed("(r -> 'phenotypes')")} AS l FROM rec UNION ALL SELECT raw_id, record_pos, k, r ->> 'id', 'variant', {_listed("(r -> 'variants')")} FROM rec
+  UNION ALL SELECT raw_id, record_pos, k, r ->> 'id', 'diagnosis', {_listed("(r -> 'diagnoses')")} FROM rec)),
+ev AS (SELECT raw_id, record_pos, k, record_id, kind, item_pos, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS evidence_pos FROM (SELECT *, {_listed("(item -> 'evidence')")} AS l FROM items WHERE json_type(item) = 'OBJECT'))
+"""
+
+
+@query(_NESTED + "SELECT raw_id, record_id, kind AS item_kind, item_pos, evidence_pos, e ->> 'source_id' AS source_id FROM ev WHERE json_type(e) = 'OBJECT' AND kind <> 'diagnosis'")
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     ev = flatten.evidence_table(_linked(spark, d)).filter(F.col("item_kind").isin("phenotype", "variant"))
     return ev.select("raw_id", "record_id", "item_kind", "item_pos", "evidence_pos", "source_id")
 
 
-@query()
+@query(_NESTED + """, n AS (SELECT raw_id, record_pos, k, count(*) AS nodes FROM (SELECT raw_id, record_pos, k FROM rec UNION ALL SELECT raw_id, record_pos, k FROM items WHERE json_type(item) = 'OBJECT'
+  UNION ALL SELECT raw_id, record_pos, k FROM ev WHERE json_type(e) = 'OBJECT') GROUP BY 1, 2, 3)
+SELECT raw_id, (1 + 2 * coalesce(sum(nodes) OVER (PARTITION BY raw_id ORDER BY record_pos, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS record_pre, record_pos, r ->> 'id' AS record_id FROM rec JOIN n USING (raw_id, record_pos, k)""")
 def p7_records(spark: SparkSession, d: str) -> DataFrame:
     return flatten.record_table(flatten.nodes(table(spark, d, "raw_records")))
 

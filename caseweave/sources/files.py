@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseweave.functions.text import access_tier
+from caseweave.operators.dag import normalise_diseases
 from caseweave.operators.records import PACKET, to_phenopacket
 from caseweave.schema import CASE_RECORD, SCHEMA_VERSION
 
@@ -46,6 +48,17 @@ def gene_symbols(genes: DataFrame) -> DataFrame:
     return own.unionByName(other).groupBy("symbol").agg(F.min_by("gene", F.struct("_p", "gene")).alias("gene"))
 
 
+def gene_spellings(genes: DataFrame) -> DataFrame:
+    """(symbol, gene, approved, names): every spelling in upper case with today's symbol of its gene and all names of that."""
+    names = genes.select("gene", F.col("symbol").alias("approved"), F.array_distinct(F.concat(F.array("symbol"), "aliases", "previous")).alias("names"))
+    return gene_symbols(genes).join(names, "gene").select("symbol", "gene", "approved", "names")
+
+
+def gene_disease_sets(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((gene, diseases), (disease, genes)) of (gene, disease)."""
+    return pairs.groupBy("gene").agg(F.array_sort(F.collect_set("disease")).alias("diseases")), pairs.groupBy("disease").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
+
+
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """(disease_id, hpo_id, qualifier, frequency, sex, onset, aspect) of an annotation file (TSV, # comments)."""
     t = spark.read.csv(path, sep="\t", header=True, comment="#", quote="")
@@ -53,15 +66,21 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return t.select(blank("database_id").alias("disease_id"), blank("hpo_id").alias("hpo_id"), *[blank(c).alias(c) for c in ("qualifier", "frequency", "sex", "onset", "aspect")]).filter("disease_id IS NOT NULL AND hpo_id IS NOT NULL")
 
 
-def read_gene_diseases(spark: SparkSession, path: str, genes: DataFrame) -> DataFrame:
-    """(gene, disease): by Entrez id, else by symbol; an empty frame where the file is missing."""
+def read_gene_diseases(spark: SparkSession, path: str, genes: DataFrame, terms: DataFrame | None = None, alias: DataFrame | None = None) -> DataFrame:
+    """(gene, disease): by Entrez id, else by symbol; an empty frame where the file is missing.
+
+    With ``terms`` and ``alias`` diseases are live terms, and pairs whose disease has none are left out.
+    """
     if "://" not in path and not Path(path).exists():
         return spark.createDataFrame([], "gene string, disease string")
     t = spark.read.csv(path, sep="\t", header=True, quote="")
     by_entrez = genes.filter("entrez_id IS NOT NULL").groupBy(F.col("entrez_id").alias("_e")).agg(F.max("gene").alias("_g1"))
     j = t.withColumn("_e", F.regexp_replace("ncbi_gene_id", "^NCBIGene:", "")).join(by_entrez, "_e", "left")
     j = j.withColumn("symbol", F.upper(F.trim("gene_symbol"))).join(gene_symbols(genes).withColumnRenamed("gene", "_g2"), "symbol", "left")
-    return j.select(F.coalesce("_g1", "_g2").alias("gene"), F.col("disease_id").alias("disease")).filter("gene IS NOT NULL AND disease IS NOT NULL").distinct()
+    pairs = j.select(F.coalesce("_g1", "_g2").alias("gene"), F.col("disease_id").alias("disease")).filter("gene IS NOT NULL AND disease IS NOT NULL").distinct()
+    if terms is None or alias is None:
+        return pairs
+    return pairs.join(normalise_diseases(pairs, terms, alias), "disease").filter("term IS NOT NULL").select("gene", F.col("term").alias("disease")).distinct()
 
 
 def latest_version(spark: SparkSession, root: str) -> str:
@@ -81,14 +100,15 @@ def read_phenopackets(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, **origins: str) -> DataFrame:
-    """Case records of JSON lines, tagged with the name they were passed under."""
+    """Case records of JSON lines, tagged with the name they were passed under; of a repeated id the record passed last."""
     out = None
-    for origin, path in origins.items():
-        one = spark.read.schema(CASE_RECORD).json(path).withColumn("origin", F.lit(origin))
+    for place, (origin, path) in enumerate(origins.items()):
+        one = spark.read.schema(CASE_RECORD).json(path).withColumn("origin", F.lit(origin)).withColumn("_place", F.struct(F.lit(place), F.monotonically_increasing_id()))
         out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("no case file")
-    return out
+    cols = [c for c in out.columns if c not in ("id", "_place")]
+    return out.filter("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct(*cols), "_place").alias("r")).select("id", "r.*")
 
 
 def read_availability(spark: SparkSession, path: str) -> DataFrame:
@@ -127,9 +147,28 @@ def manifest(records: DataFrame, version: str, released: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_cases"), F.count_distinct("source.pmid").alias("n_papers"), size("phenotypes").alias("n_phenotypes"), size("diagnoses").alias("n_diagnoses"),
         size("variants").alias("n_variants"), F.count_if(F.exists(F.coalesce("qa_flags", F.array().cast("array<string>")), lambda f: f.startswith("ERROR"))).alias("n_flagged"),
     )
+    flags = records.select(F.explode("qa_flags").alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+    tier = access_tier(F.nullif(F.trim("source.pmcid"), F.lit("")).isNotNull(), F.coalesce("source.in_oa_subset", F.lit(False)), F.col("source.license"))
+    tiers = records.groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+    listed = lambda t, c: t.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(f"{c}s")).withColumn("_k", F.lit(1))
+    counts = counts.withColumn("_k", F.lit(1)).join(listed(flags, "flag"), "_k").join(listed(tiers, "tier"), "_k").drop("_k")  # a row each
     return counts.select(F.to_json(F.struct(F.lit(version).alias("version"), F.lit(released).alias("released"), F.lit(SCHEMA_VERSION).alias("schema_version"), *counts.columns)).alias("value"))
 
 
+def datasheet(manifest_json: str) -> str:
+    """A manifest as a short text for readers."""
+    m = json.loads(manifest_json)
+    lines = [f"# Release {m['version']} ({m['released']})", "", f"{m['n_cases']} records of {m['n_papers']} papers: {m['n_phenotypes']} findings, {m['n_diagnoses']} diagnoses, {m['n_variants']} variants.", ""]
+    for name in ("tiers", "flags"):
+        lines += [f"## {name.capitalize()}", *(f"- {k}: {v}" for k, v in sorted((m.get(name) or {}).items())), ""]
+    return "\n".join(lines)
+
+
+def export_prompts(requests: DataFrame, to: str) -> None:
+    """One JSON request a line, for extraction by hand, in folders by document."""
+    requests.select("doc_id", F.col("request").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(to)
+
+
 def checksums(spark: SparkSession, root: str) -> DataFrame:
     """(file, sha256) of the files below ``root`` in name order; computed where the bytes are."""
     t = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
