@@ -129,7 +129,15 @@ found AS (
   UNION SELECT a.paper_id, b.paper_id FROM side a JOIN side b ON a.num = b.num WHERE a.side = 'e' AND b.side = 't')
 """.format(b=_BLANKS)
 
+_P10 = """WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 300),
+w AS (SELECT doc_id, i, hash(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM t)),
+once AS (SELECT DISTINCT doc_id, h FROM w), hot AS (SELECT h FROM once GROUP BY 1 HAVING count(*) > 1)
+"""
+
 ORACLE: dict[str, str] = {
+    "p10_found": _P10 + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM once a JOIN hot USING (h) JOIN once b ON b.h = a.h AND a.doc_id < b.doc_id",
+    "p10_shares": _P10 + """, s AS (SELECT DISTINCT doc_id, i FROM w JOIN hot USING (h)), c AS (SELECT doc_id, least(300, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 300)) AS more FROM s)
+SELECT c.doc_id, any_value(length(text)) AS n_chars, sum(more)::BIGINT AS shared_chars, round(sum(more) / any_value(length(text))::DOUBLE, 6) AS share FROM c JOIN t USING (doc_id) GROUP BY 1""",
     "p1_found": f"""WITH {_CURRENT},
 size AS (SELECT id, count(*) AS n FROM seen GROUP BY id HAVING count(*) >= 4),
 s AS (SELECT seen.id, term, n FROM seen JOIN size USING (id)),
