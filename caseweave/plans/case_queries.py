@@ -335,13 +335,15 @@ def disease_tally(spark: SparkSession, d: str) -> DataFrame:
     return rank.tally(hits, labels).withColumn("profiles", F.array_join("profiles", " "))
 
 
-def _disease_ranked(spark: SparkSession, d: str):  # noqa: ANN202
+def _disease_ranked(spark: SparkSession, d: str, first: bool = False):  # noqa: ANN202
+    """Diseases by the findings of current records, or of their first deliveries, and the records' diagnoses."""
     b = Base(spark, d)
     closed = b.closure()
     ic = b.ic(closed)
     cur = b.current("phenotypes", "diagnoses")
     asked = table(spark, d, "case_hits").filter("hit_id % 50 = 0").select(F.col("query_case_id").alias("id")).distinct()
-    queries = cut(b.live(records.observed_terms(cur)).join(asked, "id", "left_semi").select(F.col("id").alias("query"), "term"))
+    found = _paper_pairs(spark, d)[3] if first else b.live(records.observed_terms(cur))
+    queries = cut(found.join(asked, "id", "left_semi").select(F.col("id").alias("query"), "term"))
     prof = qa.profile(b.annotations(), "phenotypes")
     profiles = cut(qa.live(prof, "term", b.alias).select(F.col("disease").alias("profile"), "term"))
     top = cut(rank.search(queries, profiles, closed, ic, 100, min_terms=2, places=5))
@@ -359,19 +361,33 @@ def disease_rank(spark: SparkSession, d: str) -> DataFrame:
     return top.select("query", "profile", "score", "n_terms", "rank")
 
 
-@query(FULL + "," + DISEASE_SQL + """, gold AS (SELECT DISTINCT id AS query, disease AS item FROM dx WHERE disease IS NOT NULL AND id IN (SELECT query_case_id FROM case_hits WHERE hit_id % 50 = 0)),
+HITS_SQL = """, gold AS (SELECT DISTINCT id AS query, disease AS item FROM dx WHERE disease IS NOT NULL AND id IN (SELECT query_case_id FROM case_hits WHERE hit_id % 50 = 0)),
 fr AS (SELECT g.query, min(top.rank) AS rank FROM gold g LEFT JOIN top ON top.query = g.query AND top.profile = g.item GROUP BY 1),
 j AS (SELECT fr.*, fr.query IN (SELECT query FROM top) AS a FROM fr)
 SELECT count(*) AS n_queries, count(*) FILTER (a) AS n_answered, round(count(*) FILTER (a) / count(*)::DOUBLE, 6) AS coverage, {ks},
   round(coalesce(sum(1.0 / rank), 0) / greatest(count(*) FILTER (a), 1), 6) AS mrr, round(coalesce(sum(1.0 / rank), 0) / count(*), 6) AS mrr_all FROM j""".replace("{ks}", ", ".join(
-    f"round(count(*) FILTER (rank <= {k}) / greatest(count(*) FILTER (a), 1)::DOUBLE, 6) AS hit_{k}, round(count(*) FILTER (rank <= {k}) / count(*)::DOUBLE, 6) AS hit_{k}_all" for k in metrics.KS)))
-def hit_at_k(spark: SparkSession, d: str) -> DataFrame:
-    top, gold = _disease_ranked(spark, d)
+    f"round(count(*) FILTER (rank <= {k}) / greatest(count(*) FILTER (a), 1)::DOUBLE, 6) AS hit_{k}, round(count(*) FILTER (rank <= {k}) / count(*)::DOUBLE, 6) AS hit_{k}_all" for k in metrics.KS))
+
+
+def _hits(spark: SparkSession, d: str, first: bool) -> DataFrame:
+    top, gold = _disease_ranked(spark, d, first)
     ranked = top.select("query", F.col("profile").alias("item"), "rank")
     out = metrics.hit_at_k(metrics.first_hit(ranked, gold), ranked)
     return out.select("n_queries", "n_answered", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("n_queries", "n_answered")])
 
 
+@query(FULL + "," + DISEASE_SQL + HITS_SQL)
+def hit_at_k(spark: SparkSession, d: str) -> DataFrame:
+    """The ceiling: rankings by the findings of current records."""
+    return _hits(spark, d, False)
+
+
+@query(FULL + "," + FIRST_SQL + "," + DISEASE_SQL.replace("FROM ob WHERE id IN (SELECT query_case_id", "FROM pr WHERE id IN (SELECT query_case_id") + HITS_SQL)
+def hit_at_k_first(spark: SparkSession, d: str) -> DataFrame:
+    """The pipeline: rankings by what the first deliveries found."""
+    return _hits(spark, d, True)
+
+
 # annotation profiles
 @query(f"WITH {ANN_SQL} SELECT DISTINCT 'phenotypes' AS kind, disease, term FROM ann WHERE NOT negated AND (aspect IS NULL OR aspect = 'P') UNION ALL SELECT DISTINCT 'excluded', disease, term FROM ann WHERE negated OR coalesce(frequency = 'HP:0040285', false) UNION ALL SELECT DISTINCT 'obligate', disease, term FROM ann WHERE NOT negated AND frequency IN ('HP:0040280', '1/1', '100%') UNION ALL SELECT DISTINCT 'inheritance', disease, term FROM ann WHERE NOT negated AND aspect = 'I'")
 def disease_profiles(spark: SparkSession, d: str) -> DataFrame:

@@ -179,6 +179,86 @@ def best_individual(spark: SparkSession, d: str) -> DataFrame:
     return metrics.best_of(scores.join(where, "id"), "pmid", "id").withColumn("f1", F.round("f1", 6))
 
 
+@query(FULL + "," + FIRST_SQL + """, pg AS (SELECT DISTINCT cur.source.pmid AS pmid, term FROM ob JOIN cur USING (id) WHERE cur.source.pmid IS NOT NULL), pp AS (SELECT DISTINCT cur.source.pmid AS pmid, term FROM pr JOIN cur USING (id) WHERE cur.source.pmid IS NOT NULL),
+c AS (SELECT coalesce(pp.pmid, pg.pmid) AS pmid, count(pp.pmid) FILTER (pg.pmid IS NOT NULL)::DOUBLE AS tp, count(pp.pmid) FILTER (pg.pmid IS NULL)::DOUBLE AS fp, count(pg.pmid) FILTER (pp.pmid IS NULL)::DOUBLE AS fn FROM pp FULL JOIN pg ON pp.pmid = pg.pmid AND pp.term = pg.term GROUP BY 1)
+SELECT pmid, n_cases = 1 AS single, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn FROM (SELECT source.pmid AS pmid, count(*) AS n_cases FROM cur WHERE source.pmid IS NOT NULL GROUP BY 1) LEFT JOIN c USING (pmid)""")
+def paper_prf(spark: SparkSession, d: str) -> DataFrame:
+    """Findings by paper: of a paper with one record that record's, of others what all of its records say together."""
+    b, _, _, pred, gold, _ = cq._paper_pairs(spark, d)
+    where = cut(b.current("source").select("id", F.col("source.pmid").alias("pmid")).filter("pmid IS NOT NULL"))
+    by_paper = lambda x: x.join(where, "id").select("pmid", F.col("term").alias("value"))
+    n = where.groupBy("pmid").agg((F.count(F.lit(1)) == 1).alias("single"))
+    return metrics.exact(by_paper(pred), by_paper(gold), ["pmid"], n).join(n, "pmid").select("pmid", "single", "tp", "fp", "fn")
+
+
+@query(FULL + "," + FIRST_SQL + "," + cq.GRADED_SQL + """, jx AS (SELECT DISTINCT id, ancestor FROM pr JOIN closed USING (term)), jy AS (SELECT DISTINCT id, ancestor FROM ob JOIN closed USING (term)),
+jj AS (SELECT coalesce(jx.id, jy.id) AS id, count(*) FILTER (jx.id IS NOT NULL AND jy.id IS NOT NULL) / count(*)::DOUBLE AS j FROM jx FULL JOIN jy ON jx.id = jy.id AND jx.ancestor = jy.ancestor GROUP BY 1),
+t4 AS (SELECT sum(tp_p) / sum(tp_p + fp) AS p, sum(tp_r) / sum(tp_r + fn) AS r FROM g)
+SELECT (SELECT count(*) FROM cur) AS n_cases, (SELECT round(avg(coalesce(j, 1.0)), 4) FROM cur LEFT JOIN jj USING (id)) AS profile_jaccard_mean, (SELECT count(*) FROM ob) AS gold_observed_total, (SELECT count(*) FROM pr) AS pred_observed_total,
+  (SELECT round(2 * p * r / (p + r), 4) FROM t4) AS primary_value""")
+def eval_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The rest of an evaluation's report beside ``field_cube`` and ``bootstrap_ci``: totals, mean closure Jaccard, graded micro F1."""
+    b, closed, pred, gold, graded = cq._graded(spark, d)
+    cases = graded.select("id")
+    one = lambda df: df.withColumn("_k", F.lit(1))
+    parts = [
+        graded.agg(F.count(F.lit(1)).alias("n_cases")), metrics.closure_jaccard(pred, gold, closed, ["id"], cases).agg(F.round(F.avg("jaccard"), 4).alias("profile_jaccard_mean")),
+        gold.agg(F.count(F.lit(1)).alias("gold_observed_total")), pred.agg(F.count(F.lit(1)).alias("pred_observed_total")),
+        metrics.with_prf(graded.agg(*[F.sum(c).alias(c) for c in metrics.PARTS])).select(F.round("f1", 4).alias("primary_value")),
+    ]
+    out = one(parts[0])
+    for x in parts[1:]:
+        out = out.join(one(x), "_k")  # a row each
+    return out.drop("_k")
+
+
+@query(f"""WITH p AS (SELECT *, nullif(regexp_replace(pmid, '[^0-9]', '', 'g'), '') AS num FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY loaded_at DESC) AS rn FROM eval_papers) WHERE rn = 1), s AS (SELECT *, row_number() OVER (PARTITION BY num ORDER BY paper_id) AS seen FROM p)
+SELECT paper_id FROM s WHERE trim(license) IN ('CC0', 'CC BY', 'CC BY-SA') AND trim(abstract) <> '' AND (title IS NULL OR NOT regexp_matches(title, '(?i)\b(review|meta-analysis|systematic|scoping|narrative)\b|current (status|approaches|perspectives|concepts)|\bstate of the art\b|\bupdate on\b|\badvances in\b|\boverview of\b|\bwhat we know\b'))
+  AND (num IS NULL OR num NOT IN (SELECT source.pmid FROM case_records WHERE source.pmid IS NOT NULL)) AND (num IS NULL OR seen = 1) AND n_gold_cases > 0 ORDER BY paper_id LIMIT 20""")
+def kept_papers(spark: SparkSession, d: str) -> DataFrame:
+    """A corpus that stops at 20 kept papers."""
+    from caseweave.plans.corpus import kept_papers as kept
+    from caseweave.plans.corpus import reject_reasons
+
+    cols = ["pmid", "license", "abstract", "title", "n_gold_cases"]
+    latest = newest_values(table(spark, d, "eval_papers"), "paper_id", "loaded_at", cols, {c: F.col(c) for c in cols})
+    curated = table(spark, d, "case_records").select(F.col("source.pmid").alias("number")).filter("number IS NOT NULL").distinct()
+    return kept(reject_reasons(latest, curated), 20).select("paper_id")
+
+
+def _answered(spark: SparkSession, d: str) -> DataFrame:
+    """What the records say, put as a model's answer and read against the first text of their paper."""
+    b = Base(spark, d)
+    quoted = lambda x: F.get(x["evidence"], F.lit(0))["quote"]
+    findings = F.transform("phenotypes", lambda p: F.struct(quoted(p).alias("quote"), p["term"]["label"].alias("label"), F.coalesce(p["excluded"], F.lit(False)).alias("absent"), p["onset"]["iso8601duration"].alias("onset")))
+    v = F.get("variants", F.lit(0))
+    one = F.struct(findings.alias("findings"), v["gene"]["label"].alias("gene_symbol"), v["hgvs_c"].alias("hgvs_c"), quoted(F.get("diagnoses", F.lit(0))).alias("diagnosis_quote"))
+    cur = b.current("source", "phenotypes", "diagnoses", "variants")
+    texts = _first_texts(spark, d)
+    said = cur.select(F.col("source.pmid").alias("pmid"), F.to_json(F.array(one)).alias("individuals")).join(texts.select("pmid", "doc_id"), "pmid").select("doc_id", "individuals")
+    docs = texts.select("doc_id", "text", F.array(F.struct(F.lit("body").alias("section"), F.lit(0).alias("start"), F.length("text").alias("end"))).alias("spans"), F.concat(F.lit("PMID:"), "pmid").alias("curie"), F.lit(True).alias("quotes_permitted"))
+    labels = dag.label_index(b.terms)
+    words = lambda prefix: grounding.dictionary(labels.filter(F.col("term").startswith(prefix)))
+    named = cur.select(F.explode("variants").alias("v")).select(F.upper(F.trim("v.gene.label")).alias("symbol"), clean_id(F.col("v.gene.id")).alias("gene")).filter("symbol IS NOT NULL AND gene IS NOT NULL")
+    genes = named.groupBy("symbol").agg(F.min("gene").alias("gene")).select("symbol", "gene", F.col("symbol").alias("approved"), F.array("symbol").alias("names"))
+    return extract.answers(said, docs, words("HP:"), words("MONDO:"), genes, b.rows.select(F.col("id").alias("term"), F.col("name").alias("label")))
+
+
+@query(FULL + """, fdoc AS (SELECT * FROM (SELECT doc_id, pmid, text, row_number() OVER (PARTITION BY pmid ORDER BY doc_id) AS k FROM documents WHERE pmid IS NOT NULL) WHERE k = 1),
+fi AS (SELECT doc_id, text, regexp_replace(p.evidence[1].quote, '^\\s+|\\s+$', '', 'g') AS q, p IS NOT NULL AS there FROM (SELECT doc_id, text, unnest(phenotypes) AS p FROM cur JOIN fdoc ON fdoc.pmid = cur.source.pmid)),
+n AS (SELECT doc_id, count(*) FILTER (there) AS findings, count(*) FILTER (there AND NOT coalesce(q <> '' AND (contains(text, q) OR contains(text, regexp_replace(q, '\\s+', ' ', 'g'))), false)) AS lost FROM fi GROUP BY 1)
+SELECT doc_id, count(*) AS individuals, coalesce(any_value(findings), 0) AS findings, coalesce(any_value(lost), 0) AS quote_not_found FROM cur JOIN fdoc ON fdoc.pmid = cur.source.pmid LEFT JOIN n USING (doc_id) GROUP BY 1""")
+def answer_counters(spark: SparkSession, d: str) -> DataFrame:
+    r = _answered(spark, d)
+    return r.groupBy("doc_id").agg(F.count(F.lit(1)).alias("individuals"), F.sum("findings_returned").alias("findings"), F.sum("quote_not_found").alias("quote_not_found"))
+
+
+@query()
+def answer_records(spark: SparkSession, d: str) -> DataFrame:
+    r = _answered(spark, d)
+    return r.select("doc_id", "record.id", F.size("record.phenotypes").alias("n_findings"), F.size("record.diagnoses").alias("n_diagnoses"), F.size("record.variants").alias("n_variants"), "grounded", "quote_ungroundable")
+
+
 # audits
 def _stated(spark: SparkSession, d: str, b: Base) -> DataFrame:
     cur = b.current("diagnoses")

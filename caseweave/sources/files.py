@@ -100,15 +100,21 @@ def read_phenopackets(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, **origins: str) -> DataFrame:
-    """Case records of JSON lines, tagged with the name they were passed under; of a repeated id the record passed last."""
+    """Case records of JSON lines, tagged with the name they were passed under."""
     out = None
-    for place, (origin, path) in enumerate(origins.items()):
-        one = spark.read.schema(CASE_RECORD).json(path).withColumn("origin", F.lit(origin)).withColumn("_place", F.struct(F.lit(place), F.monotonically_increasing_id()))
+    for origin, path in origins.items():
+        one = spark.read.schema(CASE_RECORD).json(path).withColumn("origin", F.lit(origin))
         out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("no case file")
-    cols = [c for c in out.columns if c not in ("id", "_place")]
-    return out.filter("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct(*cols), "_place").alias("r")).select("id", "r.*")
+    return out
+
+
+def index_cases(cases: DataFrame, *origins: str) -> DataFrame:
+    """``read_cases`` with one row per id: of a repeated one the row whose origin comes last in ``origins``, as in an index that is written in that order."""
+    place = F.array_position(F.array(*[F.lit(o) for o in origins]), F.col("origin"))
+    cols = [c for c in cases.columns if c != "id"]
+    return cases.filter("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct(*cols), F.struct(place, F.xxhash64(*cols))).alias("r")).select("id", "r.*")
 
 
 def read_availability(spark: SparkSession, path: str) -> DataFrame:
