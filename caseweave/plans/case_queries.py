@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,29 +64,37 @@ class Base:
         self.spark, self.d = spark, d
         self.terms = table(spark, d, "terms")
         key = (spark.sparkContext.applicationId, d, *sorted(self.terms.select(F.concat_ws(" ", "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")).distinct().toPandas().iloc[:, 0]))
-        first = self._kept.pop(key, None)
-        if first is None:
-            self.rows = cut(dag.term_rows(self.terms))
-            self.alias = cut(dag.alias_closure(self.rows))
-            self._closed: DataFrame | None = None
-            first = self
-        self._kept[key] = first
-        self.first, self.rows, self.alias = first, first.rows, first.alias
+        self.first = self._kept.pop(key, self)
+        self._kept[key] = self.first
+        if self.first is self:
+            self._frames: dict[str, DataFrame] = {}
         while len(self._kept) > self.KEPT:
             old = self._kept.pop(next(iter(self._kept)))
             if old.spark.sparkContext._jsc is not None and old.spark.sparkContext.applicationId == spark.sparkContext.applicationId:
-                for frame in (old.rows, old.alias, *([old._closed] if old._closed is not None else [])):
+                for frame in old._frames.values():
                     release(frame)
 
+    def _frame(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        frames = self.first._frames
+        if name not in frames:
+            frames[name] = make()
+        return frames[name]
+
+    @property
+    def rows(self) -> DataFrame:
+        return self._frame("rows", lambda: cut(dag.term_rows(self.terms)))
+
+    @property
+    def alias(self) -> DataFrame:
+        return self._frame("alias", lambda: cut(dag.alias_closure(self.rows)))
+
     @classmethod
     def forget(cls) -> None:
         """Makes the next query work everything out again, as a bench should."""
         cls._kept.clear()
 
     def closure(self) -> DataFrame:
-        if self.first._closed is None:
-            self.first._closed = dag.closure(self.rows)
-        return self.first._closed
+        return self._frame("closure", lambda: dag.closure(self.rows))
 
     def annotations(self) -> DataFrame:
         return qa.annotations_clean(table(self.spark, self.d, "disease_annotations"))
