@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from caseweave.session import cut
+
 MIN_SHARED_IC, MAX_SHARED = 1.5, 12
-BLOCK, MAX_CLOSURE = 2000, 20_000_000
+BLOCK, MAX_CLOSURE = 500, 20_000_000
 
 
 class Vocabulary:
@@ -93,7 +95,8 @@ def search(queries: DataFrame, profiles: DataFrame, closed: DataFrame, ic: DataF
     spark = queries.sparkSession
     vocabulary = spark.sparkContext.broadcast(Vocabulary(closed, ic))
     sets = profiles.groupBy("profile").agg(F.array_sort(F.collect_set("term")).alias("terms")).filter(F.size("terms") >= min_terms)
-    asked = queries.groupBy("query").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    sets = cut(sets)  # read once a block
+    asked = cut(queries.groupBy("query").agg(F.array_sort(F.collect_set("term")).alias("terms")))
     n_blocks = max(1, -(-asked.count() // BLOCK) * 2 - 1)  # hashed, so a block may hold somewhat more than its share
     kinds = {"query": queries.schema["query"].dataType.simpleString(), "profile": profiles.schema["profile"].dataType.simpleString()}
     out = None

@@ -45,6 +45,13 @@ def suggestions(posts: DataFrame, part: str, kind: str = "phenotype", limit: int
     return per.orderBy(F.desc("n_records"), "label", "value").limit(limit)
 
 
+def gene_suggestions(posts: DataFrame, start: str, limit: int = 20) -> DataFrame:
+    """(label, n_records): gene symbols that begin with ``start`` in any case, most records first; none for an empty start."""
+    hit = posts.filter((F.col("kind") == "variant") & F.upper("label").startswith(start.upper())) if start else posts.filter("false")
+    per = hit.groupBy(F.upper("label").alias("label")).agg(F.count_distinct("id").alias("n_records"))
+    return per.orderBy(F.desc("n_records"), "label").limit(limit)
+
+
 def value_counts(posts: DataFrame) -> DataFrame:
     """(kind, value, n_records)."""
     return posts.groupBy("kind", "value").agg(F.count_distinct("id").alias("n_records"))

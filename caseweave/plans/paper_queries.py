@@ -396,6 +396,16 @@ def most_common(spark: SparkSession, d: str) -> DataFrame:
     return search.most_common(search.postings(Base(spark, d).current("phenotypes", "diagnoses", "variants")))
 
 
+@query(FULL + f""" SELECT upper(v.gene.label) AS label, count(DISTINCT id) AS n_records FROM (SELECT id, unnest(variants) AS v FROM cur) WHERE {clean('v.gene.id')} IS NOT NULL AND starts_with(upper(v.gene.label), 'S') GROUP BY 1 ORDER BY n_records DESC, label LIMIT 20""")
+def suggest_genes(spark: SparkSession, d: str) -> DataFrame:
+    return search.gene_suggestions(search.postings(Base(spark, d).current("phenotypes", "diagnoses", "variants")), "s")
+
+
+@query(FULL + """, p AS (SELECT id, 'phenotype' AS kind, term AS value FROM ph WHERE NOT excluded UNION SELECT id, 'diagnosis', disease FROM dx UNION SELECT id, 'variant', gene FROM gx) SELECT kind, value, count(DISTINCT id) AS n_records FROM p WHERE value IS NOT NULL GROUP BY 1, 2""")
+def value_counts(spark: SparkSession, d: str) -> DataFrame:
+    return search.value_counts(search.postings(Base(spark, d).current("phenotypes", "diagnoses", "variants")))
+
+
 @query(FULL + """ SELECT DISTINCT cur.id FROM cur JOIN gx USING (id) WHERE gene IS NOT NULL AND source.license = 'CC BY' ORDER BY cur.id LIMIT 50""")
 def case_listing(spark: SparkSession, d: str) -> DataFrame:
     cur = Base(spark, d).current("source", "phenotypes", "diagnoses", "variants")
