@@ -153,3 +153,13 @@ def test_parsing_blocks():
     assert [(a.tolist(), b.tolist()) for a, b in p.pairs()] == [([0], [1])]
     alone = spans.Parsed(np.array([5, 6]), np.array([0, 1]), [one, two], 8)  # other anchors
     assert alone.factors == [] and list(alone.pairs()) == []
+
+
+def test_long_periodic_texts(spark):
+    """Every place of a text that repeats itself is an anchor; equal blocks are kept once."""
+    z, ab = "z" * 60_000, "ab" * 30_000
+    texts = {1: z + "a", 2: "b" + z, 3: ab, 4: "x" + ab[: 299], 5: "q" * 299, 6: "q" * 400}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    s = spans.SharedSpans(df, 300)
+    assert rows(s.pairs()) == [(1, 2)]
+    assert {r["doc_id"]: r["shared_chars"] for r in s.shares().collect()} == {1: 60_000, 2: 60_000}
