@@ -158,18 +158,24 @@ def rare_grams(sets: DataFrame, bits: int, common: Any, threshold: float) -> Dat
 
 
 def scan(sets: DataFrame, bits: int, indexed: Any) -> DataFrame:
-    """(gram, k0, k1, n): members of the sets that may be in the index, by its broadcast table of slots."""
+    """(gram, k0, k1, n): members of the sets that may be in the index, by its broadcast table of slots.
+
+    Equal sets of a batch count once; those of several batches are told apart by nobody, which can only add hits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams, row = _flat(batch.column(2))
             sizes = np.bincount(row, minlength=batch.num_rows)
-            hit = indexed.value[_slots(grams, bits)]
+            names = np.rec.fromarrays([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            new = np.zeros(batch.num_rows, bool)
+            new[np.unique(names, return_index=True)[1]] = True
+            hit = indexed.value[_slots(grams, bits)] & new[row]
             grams, row = grams[hit], row[hit]
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(grams), batch.column(0).take(take), batch.column(1).take(take), pa.array(sizes[row], pa.int32())], names=["gram", "k0", "k1", "n"])
 
-    return sets.select("k0", "k1", "h").mapInArrow(run, "gram bigint, k0 bigint, k1 bigint, n int").distinct()
+    return sets.select("k0", "k1", "h").mapInArrow(run, "gram bigint, k0 bigint, k1 bigint, n int")
 
 
 def text_overlaps(papers: DataFrame, threshold: float = 0.7, width: int = 3, min_tokens: int = 20) -> DataFrame:
