@@ -12,7 +12,7 @@ from caseweave.functions.durations import iso_days
 from caseweave.functions.ids import clean_id, newest_values, trimmed
 from caseweave.operators import dag, extract, grounding, metrics, qa, quotes, rank, records, search
 from caseweave.plans.queries import BLANKS, query
-from caseweave.session import cut, release, table
+from caseweave.session import cut, release, table, there
 
 ROOT = "HP:9005920"  # the test ontology's most general finding; a parameter of the facet query
 
@@ -76,7 +76,7 @@ class Base:
 
     def _frame(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         frames = self.first._frames
-        if name not in frames:
+        if name not in frames or not there(frames[name]):
             frames[name] = make()
         return frames[name]
 

@@ -62,6 +62,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def there(df: DataFrame) -> bool:
+    """Whether the files of a frame made by ``cut`` still exist."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._caseweave_path)  # type: ignore[attr-defined]
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path))
+
+
 def release_all(spark: SparkSession) -> None:
     """Delete all tables of this application; frames made from them can no longer be read."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_tables_folder(spark))

@@ -176,9 +176,20 @@ def export_prompts(requests: DataFrame, to: str) -> None:
 
 
 def checksums(spark: SparkSession, root: str) -> DataFrame:
-    """(file, sha256) of the files below ``root`` in name order; computed where the bytes are."""
+    """(file, sha256) of the files below ``root`` in name order; computed where the bytes are. Hidden files are left out.
+
+    The reader passes over empty files, so those are listed by name.
+    """
     t = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return t.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256")).orderBy("file")
+    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("file")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found, empty = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while found.hasNext():
+        one = found.next()
+        if one.getLen() == 0 and not one.getPath().getName().startswith(("_", ".")):
+            empty.append((one.getPath().getName(), hashlib.sha256().hexdigest()))
+    sums = t.select(name, F.sha2("content", 256).alias("sha256"))
+    return (sums.unionByName(spark.createDataFrame(empty, "file string, sha256 string")) if empty else sums).orderBy("file")
 
 
 def file_sha256(path: str) -> str:

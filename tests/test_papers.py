@@ -130,6 +130,15 @@ def test_genes_releases_and_corpus(spark, tmp_path):
     assert [x["paper_id"] for x in kept_papers(r, 2).collect()] == [2, 3]
 
 
+def test_checksums_of_empty_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "b").write_bytes(b"")
+    (tmp_path / "a").write_bytes(b"x")
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    assert [tuple(r) for r in files.checksums(spark, str(tmp_path)).collect()] == [(n, hashlib.sha256(c).hexdigest()) for n, c in (("a", b"x"), ("b", b""))]
+
+
 def test_best_of_and_audit(spark):
     s = spark.createDataFrame([("p", "a", 0.5), ("p", "b", 0.5), ("q", "c", 0.1), ("q", "d", 0.9)], "g string, id string, f1 double")
     assert rows(metrics.best_of(s, "g", "id").select("g", "id")) == [("p", "a"), ("q", "d")]
@@ -148,4 +157,6 @@ def test_shared_folder(spark):
         session.shared_folder(cluster)
     df = session.cut(spark.range(3))
     assert df.count() == 3 and f"caseweave-{spark.sparkContext.applicationId}" in df._caseweave_path
+    assert session.there(df)
     session.release(df)
+    assert not session.there(df)
