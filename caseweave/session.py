@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -82,3 +83,9 @@ def release(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._caseweave_path)  # type: ignore[attr-defined]
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let go of the shuffle files that no frame can read any more, which otherwise stay until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -119,3 +119,75 @@ def test_scan_with_few_counters(spark, monkeypatch):
     grams = [{tuple(t.split()[k : k + 3]) for k in range(38)} for t in texts]
     want = {(e, t) for e in range(1, 12, 2) for t in range(0, 12, 2) if jaccard(grams[e], grams[t]) >= 0.7}
     assert {(r["eval_id"], r["train_id"]) for r in splits.text_overlaps(df).collect()} == want and want
+
+
+def test_overlaps_in_passes(spark, monkeypatch):
+    """Several passes, sets beyond what vectors tell apart, small slices and many repeated ids change nothing."""
+    from datetime import datetime as T
+
+    rng = random.Random(12)
+    pool = [[rng.choice("abcdefgh") + str(rng.randrange(30)) for _ in range(6)] for _ in range(40)]
+    texts = []
+    for _ in range(120):
+        t = [w for _ in range(rng.randrange(3, 9)) for w in rng.choice(pool)]
+        if texts and rng.random() < 0.5:
+            t = list(rng.choice(texts))
+            for _ in range(rng.randrange(4)):
+                t[rng.randrange(len(t))] = "new"
+        texts.append(t)
+    data = [(i, None, rng.choice(["train", "dev"]), ", ".join(t), T(2021, 1, 1)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(data + [(i, None, "test", " ".join(texts[0]), T(2020, 1, 1)) for i in range(0, 120, 3)], "paper_id long, pmid string, split string, abstract string, loaded_at timestamp")
+    grams = [{tuple(t[k : k + 3]) for k in range(len(t) - 2)} if len(t) >= 20 else None for t in texts]
+    want = {(e[0], t[0]) for e in data for t in data if (e[2], t[2]) == ("dev", "train") and grams[e[0]] and grams[t[0]] and jaccard(grams[e[0]], grams[t[0]]) >= 0.7}
+    for name, value in (("PASS_ROWS", 1), ("PLAIN", 20), ("SLICE", 500), ("LISTED", 0)):
+        monkeypatch.setattr(splits, name, value)
+        assert {(r["eval_id"], r["train_id"]) for r in splits.overlaps(df).collect()} == want and want
+
+
+def test_words():
+    texts = [None, "", "A-b_c\x00d\x1ce\x85f\ng ΑΣ ΑΣΑ\nΣ", "İstanbul, ½ ² ٣٤ naïve éx 中文字", "ไทย – ß.x﻿y"]
+    for more in ([], ["".join(map(chr, range(0x2000, 0x2400)))]):
+        assert splits.words_of(texts + more) == [splits.WORD.findall(t.lower()) if t else [] for t in texts + more]
+
+
+def test_disk_of_overlaps(spark, tmp_path):
+    """Shuffle files and tables of a run stay below four times its input."""
+    import threading
+    from pathlib import Path
+
+    from caseweave import session
+
+    rng = random.Random(4)
+    words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{i}" for i in range(3000)]
+    pool = [" ".join(rng.choice(words) for _ in range(12)) + "." for _ in range(20000)]
+    data = [(i, None, rng.choice(["train", "train", "dev"]), " ".join(rng.choice(pool) for _ in range(8)), None) for i in range(20000)]
+    path = str(tmp_path / "papers.parquet")
+    spark.createDataFrame(data, "paper_id long, pmid string, split string, abstract string, loaded_at timestamp").coalesce(4).write.parquet(path)
+    del data
+    spark._jvm.System.gc()
+    places = [session._tables_folder(spark).removeprefix("file:"), *spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+
+    def size() -> int:
+        total = 0
+        for p in (p for place in places for p in Path(place).rglob("*")):
+            try:
+                total += p.stat().st_size if p.is_file() else 0
+            except OSError:
+                pass
+        return total
+
+    before, most, over = size(), [0], threading.Event()
+
+    def watch() -> None:
+        while not over.wait(0.1):
+            most[0] = max(most[0], size())
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        splits.overlaps(spark.read.parquet(path)).count()
+    finally:
+        over.set()
+        thread.join()
+    given = sum(p.stat().st_size for p in Path(path).glob("*.parquet"))
+    assert max(most[0], size()) - before < 4 * given, ((most[0] - before) / given, given)
